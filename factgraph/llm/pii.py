@@ -140,9 +140,11 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def vote_patterns(found: DataFrame) -> list[dict]:
     """How many candidates there are per kind and votes: a bounded table."""
-    spread = found.select(F.explode("spans").alias("s")).select(F.col("s.kind"), *[F.col(f"s.{x}") for x in LABELERS])
-    rows = spread.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r.asDict() for r in rows), key=lambda r: [str(v) for v in r.values()])
+    # One string per candidate: a struct would let the optimizer take each field from its own copy of the scan's expressions.
+    votes = F.transform("spans", lambda s: F.concat_ws("|", s["kind"], *[s[x].cast("string") for x in LABELERS]))
+    rows = found.select(F.explode(votes).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
+    found_votes = [(r["v"].split("|"), r["n"]) for r in sorted(rows, key=lambda r: r["v"])]
+    return [{"kind": v[0], **{x: int(y) for x, y in zip(LABELERS, v[1:], strict=True)}, "n": n} for v, n in found_votes]
 
 
 def estimate(patterns: list[dict], rounds: int = 50) -> tuple[list[float], dict]:
