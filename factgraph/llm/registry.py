@@ -9,12 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from factgraph.runtime import table
 
 
+def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import toxicity
+
+    return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm import quality
 
     return quality.quality(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
 
+def op5_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import langid
+
+    return langid.contract(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import simhash
+
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm import secrets
 
