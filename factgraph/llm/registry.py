@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from factgraph.runtime import table
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import fixity
+
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.damaged(pages)).withColumnRenamed("id", "page_id")
+
+
 def op2_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm import toxicity
 
@@ -21,6 +28,12 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm import langid
 
@@ -50,6 +63,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from factgraph.llm import quality
+    from factgraph.llm import fixity, quality
 
-    return {"op3_quality_ledger": quality.ORACLE_SQL}
+    return {"op1_merkle_fixity": fixity.ORACLE_SQL, "op3_quality_ledger": quality.ORACLE_SQL}
