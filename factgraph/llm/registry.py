@@ -46,6 +46,18 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import backoff
+
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factgraph.llm import decontam
+
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm import secrets
 
@@ -63,6 +75,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from factgraph.llm import fixity, quality
+    from factgraph.llm import backoff, fixity, quality
 
-    return {"op1_merkle_fixity": fixity.ORACLE_SQL, "op3_quality_ledger": quality.ORACLE_SQL}
+    return {"op1_merkle_fixity": fixity.ORACLE_SQL, "op3_quality_ledger": quality.ORACLE_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL}
