@@ -4,16 +4,223 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factgraph.functions import metrics, predicates
+from factgraph.operators import audits, graph, references, search
+from factgraph.runtime import table
+from factgraph.sources import star
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name with the SQL that must give the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return audits.coupling(star.type_uses(spark, sf_dir), _members(spark, sf_dir), min_efferent=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("owner_id"))
+
+
+_USES = "SELECT DISTINCT l_partkey AS owner_id, l_suppkey AS used_id FROM lineitem WHERE l_partkey <> l_suppkey"
+
+
+@query(f"""WITH e AS ({_USES}), o AS (SELECT owner_id AS id, count(*) AS efferent FROM e GROUP BY 1), i AS (SELECT used_id AS id, count(*) AS afferent FROM e GROUP BY 1),
+m AS (SELECT l_partkey AS id, count(*) AS members FROM lineitem GROUP BY 1)
+SELECT o.id, efferent, coalesce(afferent, 0) AS afferent, members, round_even(0.4 * efferent + 0.4 * members + 0.2 * coalesce(afferent, 0), 2)::DOUBLE AS score
+FROM o JOIN m ON o.id = m.id LEFT JOIN i ON o.id = i.id WHERE efferent >= 20 AND members >= 20 ORDER BY score DESC, o.id LIMIT 20""")
+def find_god_objects(spark, sf):
+    return audits.coupling(star.type_uses(spark, sf), _members(spark, sf))
+
+
+@query("""WITH f AS (SELECT * FROM part WHERE contains(lower(p_name), 'a')) SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type_kind, (SELECT count(*) FROM f) AS total FROM f ORDER BY p_name, p_partkey LIMIT 50 OFFSET 10""")
+def search_symbols(spark, sf):
+    return search.search_symbols(star.symbols(spark, sf), "A", limit=50, offset=10).select("symbol_id", "name", "type_kind", "total")
+
+
+@query("""SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE regexp_matches(p_name, '^.*a.e.*$', 'i')""")
+def search_symbols_glob(spark, sf):
+    return star.symbols(spark, sf).where(predicates.glob(F.col("name"), "*a?e*")).select("symbol_id", "name")
+
+
+@query("""SELECT p_type AS type_kind, count(*) AS n FROM part WHERE p_size > 10 AND contains(lower(p_brand), 'brand') GROUP BY 1""")
+def semantic_query(spark, sf):
+    return search.count_by(search.semantic_query(star.symbols(spark, sf), namespace="Brand", accessibility="public"), "type_kind")
+
+
+_KIND = "CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'write' WHEN 'AF' THEN 'invocation' WHEN 'NO' THEN 'attribute' ELSE 'read' END"
+
+
+@query(f"""SELECT l_partkey AS symbol_id, {_KIND} AS kind, count(*) AS n, count(DISTINCT l_orderkey) AS n_docs FROM lineitem GROUP BY 1, 2""")
+def find_references(spark, sf):
+    return references.reference_counts(star.refs(spark, sf))
+
+
+@query("""WITH s AS (SELECT l_partkey, l_suppkey, count(*) AS n, list_sort(list(DISTINCT {'d': l_orderkey, 'l': l_linenumber})) AS s FROM lineitem GROUP BY 1, 2)
+SELECT l_partkey AS symbol_id, l_suppkey AS in_symbol_id, n, array_to_string(list_transform(s[1:3], lambda x: x.d::VARCHAR || ':' || x.l::VARCHAR), ',') AS first_spots FROM s""")
+def find_callers(spark, sf):
+    return references.callers(star.refs(spark, sf))
+
+
+@query("""SELECT l_suppkey AS in_symbol_id, l_partkey AS symbol_id, l_orderkey AS doc_id, l_linenumber AS line FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) = 1""")
+def get_outgoing_calls(spark, sf):
+    return references.outgoing(star.refs(spark, sf))
+
+
+@query("""SELECT p_partkey AS symbol_id, coalesce(n, 0) AS n_refs FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey WHERE coalesce(n, 0) <= 20 AND NOT contains(p_type, 'STEEL')""")
+def find_unused_code(spark, sf):
+    exempt = star.symbols(spark, sf).where(F.contains("type_kind", F.lit("STEEL"))).select("symbol_id")
+    return references.unused(star.symbols(spark, sf), star.refs(spark, sf), 20, exempt).select("symbol_id", "n_refs")
+
+
+@query("""SELECT p_partkey AS symbol_id, n AS n_refs, d AS n_docs, CASE WHEN p_size > 10 THEN 'error' ELSE 'warning' END AS severity, p_size <= 10 AS safe FROM part JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_orderkey) AS d FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
+def analyze_change_impact(spark, sf):
+    return references.change_impact(star.symbols(spark, sf), star.refs(spark, sf), "change_accessibility").select("symbol_id", "n_refs", "n_docs", "severity", "safe")
+
+
+@query("""SELECT o_custkey, o_orderkey, ordinal FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal FROM orders) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (ordinal <> 2)::INT, ordinal) = 1""")
+def get_method_signature(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return search.overload(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], 2).select("o_custkey", "o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal FROM orders QUALIFY ordinal < 5""")
+def get_method_overloads(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return search.per_group(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS node_id, l_linenumber * 5 AS a, l_linenumber * 5 + l_quantity::INT AS b FROM lineitem)
+SELECT doc_id, 22 AS pos, node_id FROM s WHERE a <= 22 AND 22 < b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY b - a, a, node_id) = 1""")
+def get_containing_member(spark, sf):
+    x = table(spark, sf, "lineitem")
+    start = F.col("l_linenumber") * 5
+    spans = x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node_id"), start.alias("span_start"), (start + F.col("l_quantity").cast("int")).alias("span_end"))
+    positions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(22).alias("pos"))
+    return search.enclosing(positions, spans).select("doc_id", "pos", "node_id")
+
+
+_EDGES = """e AS (SELECT 'c' || c_custkey AS t, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+@query(f"""WITH {_EDGES} SELECT t AS src, b AS dst, 1 AS depth FROM e UNION ALL SELECT x.t, y.b, 2 FROM e x JOIN e y ON x.b = y.t""")
+def get_base_types(spark, sf):
+    return graph.closure(star.type_edges(spark, sf), "type_id", "base_id")
+
+
+@query(f"""WITH {_EDGES}, c AS (SELECT t, b, 1 AS depth FROM e UNION ALL SELECT x.t, y.b, 2 FROM e x JOIN e y ON x.b = y.t) SELECT b AS base_id, count(*) AS n_derived, sum((depth = 1)::INT)::BIGINT AS n_direct FROM c GROUP BY 1""")
+def get_derived_types(spark, sf):
+    pairs = graph.closure(star.type_edges(spark, sf), "type_id", "base_id")
+    return pairs.groupBy(F.col("dst").alias("base_id")).agg(F.count(F.lit(1)).alias("n_derived"), F.sum((F.col("depth") == 1).cast("int")).alias("n_direct"))
+
+
+_CALLS = "calls AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, w AS (SELECT (SELECT min(src) FROM calls) AS node, 0 AS depth UNION ALL SELECT dst, depth + 1 FROM w JOIN calls ON node = src WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY 1""")
+def get_call_graph(spark, sf):
+    edges = star.calls(spark, sf)
+    root = edges.agg(F.min("src")).first()[0]
+    return graph.bounded_search(edges, root, max_depth=3)
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, w AS (SELECT src, dst FROM calls UNION SELECT w.src, calls.dst FROM w JOIN calls ON w.dst = calls.src), m AS (SELECT a.src, a.dst FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src) SELECT src AS node, min(dst) AS component, count(*) AS size FROM m GROUP BY 1""")
+def find_circular_dependencies(spark, sf):
+    return graph.on_cycles(star.calls(spark, sf))
+
+
+@query("""SELECT p_partkey AS symbol_id, p_size::BIGINT AS complexity FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') ORDER BY p_size DESC, p_partkey LIMIT 50""")
+def find_untested_code(spark, sf):
+    x, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    edges = x.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    roots = o.where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    hit = graph.reached(edges, roots).where(F.startswith("node", F.lit("p"))).select(F.expr("cast(substring(node, 2) as bigint)").alias("symbol_id"))
+    surface = star.symbols(spark, sf).where("accessibility = 'Public'")
+    return surface.join(hit, "symbol_id", "left_anti").select("symbol_id", F.col("size").cast("long").alias("complexity")).orderBy(F.desc("complexity"), "symbol_id").limit(50)
+
+
+_DIAG = """d AS (SELECT user_id AS doc_id, event_type AS id, CASE WHEN value > 75 THEN 'Error' WHEN value > 50 THEN 'Warning' WHEN value > 25 THEN 'Info' ELSE 'Hidden' END AS severity, props AS message, event_id AS ordinal FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) = 1)"""
+
+
+@query(f"""WITH {_DIAG} SELECT doc_id, id, severity, ordinal FROM d WHERE severity <> 'Hidden'""")
+def get_diagnostics(spark, sf):
+    return audits.diagnostics(star.diagnostics(spark, sf)).select("doc_id", "id", "severity", "ordinal")
+
+
+@query(f"""WITH {_DIAG} (SELECT 'diagnostics' AS section, id AS key, count(*) AS n FROM d WHERE severity <> 'Hidden' GROUP BY 2 ORDER BY n DESC, key LIMIT 5)
+UNION ALL (SELECT 'severity', severity, count(*) AS n FROM d GROUP BY 2 ORDER BY n DESC, severity LIMIT 5)
+UNION ALL (SELECT 'unused', p_type, count(*) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1) ON p_partkey = l_partkey WHERE coalesce(c, 0) <= 20 GROUP BY 2 ORDER BY n DESC, p_type LIMIT 5)""")
+def get_project_health(spark, sf):
+    found = star.diagnostics(spark, sf)
+    unused = references.unused(star.symbols(spark, sf), star.refs(spark, sf), 20)
+    return audits.health([audits.top(audits.diagnostics(found), "id", "diagnostics"), audits.top(audits.diagnostics(found, include_hidden=True), "severity", "severity"), audits.top(unused, "type_kind", "unused")])
+
+
+@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(//|/\*|\*|$)')))::BIGINT AS loc FROM documents""")
+def get_complexity_metrics(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", metrics.code_lines(F.col("text")).alias("loc"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS context FROM documents WHERE contains(text, 'the')""")
+def find_reflection_usage(spark, sf):
+    return table(spark, sf, "documents").where(F.contains("text", F.lit("the"))).select("doc_id", predicates.clip(F.col("text")).alias("context"))
+
+
+@query("""SELECT d.doc_id, source, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1 OR quality = 0""")
+def get_attributes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id").where("toxic = 1 or quality = 0").select("doc_id", "source", F.col("quality").cast("long"), F.col("toxic").cast("long"))
+
+
+@query("""SELECT p_brand AS namespace, count(*) AS n_members, sum((p_size > 10)::INT)::BIGINT AS n_public, count(DISTINCT p_type) AS n_kinds, bool_or(p_size > 49) AS has_large FROM part GROUP BY 1""")
+def get_type_overview(spark, sf):
+    return star.symbols(spark, sf).groupBy("namespace").agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("accessibility") == "Public").alias("n_public"), F.countDistinct("type_kind").alias("n_kinds"), F.bool_or(F.col("size") > 49).alias("has_large"))
+
+
+@query("""SELECT s_nationkey AS project, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS ordinal FROM supplier QUALIFY ordinal <= 3""")
+def get_project_structure(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("id"))
+    return s.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("id")).cast("long")).where("ordinal <= 3")
+
+
+@query(f"""WITH {_CALLS} SELECT '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') AS line FROM calls""")
+def dependency_graph(spark, sf):
+    return graph.mermaid(star.calls(spark, sf))
+
+
+@query("""SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'insert' WHEN b.p IS NULL THEN 'delete' WHEN a.h <> b.h THEN 'update' ELSE 'keep' END AS action
+FROM (SELECT 'f' || doc_id AS p, md5(text) AS h FROM documents WHERE doc_id > 20) a FULL OUTER JOIN (SELECT 'f' || doc_id AS p, md5(CASE WHEN source = 'src0' THEN text || ' ' ELSE text END) AS h FROM documents WHERE lang <> 'es') b ON a.p = b.p""")
+def sync_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    path = F.concat(F.lit("f"), "doc_id").alias("path")
+    known = d.where("doc_id > 20").select(path, F.md5("text").alias("hash"))
+    listed = d.where("lang <> 'es'").select(path, F.md5(F.when(F.col("source") == "src0", F.concat("text", F.lit(" "))).otherwise(F.col("text"))).alias("hash"))
+    return audits.sync(known, listed)
+
+
+@query("""SELECT n_nationkey AS type_id, p.member FROM nation, (SELECT DISTINCT p_brand AS member FROM part) p WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = n_nationkey AND p_brand = p.member)""")
+def get_missing_members(spark, sf):
+    x, p, s, n = (table(spark, sf, t) for t in ("lineitem", "part", "supplier", "nation"))
+    have = x.join(p, x["l_partkey"] == p["p_partkey"]).join(s, x["l_suppkey"] == s["s_suppkey"]).select(F.col("s_nationkey").alias("type_id"), F.col("p_brand").alias("member")).distinct()
+    brands = p.agg(F.collect_set("p_brand").alias("members"))
+    # Every type must have each member of the contract; the contract is one row.
+    wanted = n.select(F.col("n_nationkey").alias("type_id")).join(F.broadcast(brands), F.lit(True)).select("type_id", F.explode("members").alias("member"))
+    return wanted.join(have, ["type_id", "member"], "left_anti")
