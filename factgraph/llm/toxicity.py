@@ -128,9 +128,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest
 
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        keys = [min((xxh64_intdigest(w) >> 1 for w in set((t or "").split()) if len(w) > 5), default=0) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["toxic", "text", "sketch"])
+        keys = []
+        for text in batch.column(1).to_pylist():
+            words = (text or "").split()
+            shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+            keys.append([min(xxh64_intdigest(s, seed) >> 1 for s in shingles) for seed in range(3)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]], names=["toxic", "text", "a", "b", "c"])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, sample_toxic: int, sample_clean: int) -> DataFrame:
@@ -140,7 +143,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     ids = usable.where("toxic = 1").orderBy(*rank).limit(sample_toxic).unionByName(usable.where("toxic = 0").orderBy(*rank).limit(sample_clean))
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text"))
     # The broadcast side has sample_toxic + sample_clean rows at most.
-    return texts.join(F.broadcast(ids), "id_").select("toxic", "text").mapInArrow(_sketches, "toxic int, text string, sketch long").dropDuplicates(["toxic", "sketch"]).select("toxic", "text")
+    return texts.join(F.broadcast(ids), "id_").select("toxic", "text").mapInArrow(_sketches, "toxic int, text string, a long, b long, c long").dropDuplicates(["toxic", "a"]).dropDuplicates(["toxic", "b"]).dropDuplicates(["toxic", "c"]).select("toxic", "text")
 
 
 def learn_lexicon(sample: DataFrame, *, significance: float = 25.0, purity: float = 0.95, max_entries: int = 2000) -> dict[str, float]:
