@@ -12,7 +12,8 @@ alphanumeric, base64) and
 Discoveries follow the e-BH rule at ``fdr`` over all tokens of the corpus (Wang and Ramdas 2022),
 which holds under any dependence between tokens. Character counts (66 rows) and the histogram of
 log e-values (at most 6001 rows) are the only things that reach the driver. Everything else is
-row-local: no shuffle of texts, no Python on the executors.
+row-local: no shuffle of texts, no Python on the executors. Distinct tokens with their counts go to
+the shared folder.
 
 Defined results: a null text counts as empty and has no spans; equal rows get equal results; an
 empty table gives an empty result; the scan reads the id and text columns only, so extra columns
@@ -27,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import spans as S
+from factgraph.runtime import materialise
 
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
+#: The lookahead and lookbehinds change no match: they only spare positions where none can begin.
+ASSIGN = r"""(?=[pPsStTaA][aAeEoOpP])(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
-HEX = r"[0-9a-f]{16,}+"
-TOKEN = r"[A-Za-z0-9+/_-]{16,}+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 #: Characters of a token, in the order that gives symbol values; the last stands for any other.
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"
 #: (pattern of the whole token, its alphabet), the narrowest first.
@@ -64,10 +67,15 @@ def base_spans(frame: DataFrame, text: str = "text_") -> DataFrame:
     return frame.withColumn("assign", F.filter("assign", lambda m: F.length(m["value"]) >= 12))
 
 
-def character_model(docs: DataFrame, *, text_col: str = "text") -> list[float]:
+def corpus_tokens(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(t, n): the distinct tokens of the corpus and how often each occurs, in the shared folder, so that both statistics cost one pass over the texts."""
+    found = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("t"))
+    return materialise(found.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+
+
+def character_model(tokens: DataFrame) -> list[float]:
     """Log probability of each character of ALPHABET over all tokens of the corpus (add-one smoothed)."""
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("t"))
-    counts = {r["c"]: r["n"] for r in tokens.select(F.explode(F.split("t", "")).alias("c")).where(F.col("c") != "").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["c"]: r["n"] for r in tokens.select(F.explode(F.split("t", "")).alias("c"), "n").where(F.col("c") != "").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     whole = sum(counts.values()) + len(ALPHABET)
     return [math.log((counts.get(c, 0) + 1) / whole) for c in ALPHABET]
 
@@ -128,12 +136,11 @@ def uniformity(token: Column) -> Column:
     return S.bind(S.bind(alphabet, parts), battery)
 
 
-def discovery_threshold(docs: DataFrame, model: list[float], *, text_col: str = "text", fdr: float = 0.01) -> float:
+def discovery_threshold(tokens: DataFrame, model: list[float], *, fdr: float = 0.01) -> float:
     """The log e-value from which e-BH rejects, over every token of the corpus."""
-    tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("t"))
     floor = math.log(1 / fdr)
     bins = F.when(F.col("e") >= floor, F.floor(F.least(F.col("e"), F.lit(LOG_E_TOP)) / LOG_E_BIN).cast("int"))
-    found = tokens.select(log_e(F.col("t"), model).alias("e")).groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    found = tokens.select(log_e(F.col("t"), model).alias("e"), "n").groupBy(bins.alias("bin")).agg(F.sum("n").alias("n")).collect()
     tested, rejected = sum(r["n"] for r in found), 0
     best = math.inf
     for bin_, n in sorted(((r["bin"], r["n"]) for r in found if r["bin"] is not None), reverse=True):
@@ -148,8 +155,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr
 
     ``keep`` names further columns of ``docs`` to carry along.
     """
-    model = character_model(docs, text_col=text_col)
-    threshold = discovery_threshold(docs, model, text_col=text_col, fdr=fdr)
+    counted = corpus_tokens(docs, text_col=text_col)
+    model = character_model(counted)
+    threshold = discovery_threshold(counted, model, fdr=fdr)
     frame = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("keep_"))
     frame = base_spans(frame)
     frame = frame.withColumn("base", F.concat(*[S.label(F.col(k), k, i) for i, k in enumerate(KINDS[:3])]))
