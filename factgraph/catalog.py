@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import metrics, predicates
-from factgraph.operators import audits, graph, references, search
+from factgraph.operators import audits, declarations, graph, references, search
 from factgraph.runtime import table
 from factgraph.sources import star
 
@@ -224,3 +224,169 @@ def get_missing_members(spark, sf):
     # Every type must have each member of the contract; the contract is one row.
     wanted = n.select(F.col("n_nationkey").alias("type_id")).join(F.broadcast(brands), F.lit(True)).select("type_id", F.explode("members").alias("member"))
     return wanted.join(have, ["type_id", "member"], "left_anti")
+
+
+@query("""SELECT owner_id, attribute FROM (SELECT c_custkey AS owner_id, c_mktsegment || CASE WHEN c_custkey % 2 = 1 THEN 'Attribute' ELSE '' END AS attribute FROM customer) WHERE attribute IN ('HOUSEHOLD', 'HOUSEHOLDAttribute')""")
+def find_attribute_usages(spark, sf):
+    attribute = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 2 == 1, "Attribute").otherwise(""))
+    return declarations.attribute_usages(table(spark, sf, "customer").select(F.col("c_custkey").alias("owner_id"), attribute.alias("attribute")), "HOUSEHOLDAttribute")
+
+
+_CLOSURE = f"{_EDGES}, c AS (SELECT t, b, 1 AS depth FROM e UNION ALL SELECT x.t, y.b, 2 FROM e x JOIN e y ON x.b = y.t)"
+_OWN = "own AS (SELECT 's' || s_suppkey AS type_id, 'm' || (s_suppkey % 7) AS name, 'Method' AS kind, s_suppkey % 3 AS ordinal FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'm' || (n_nationkey % 5), 'Method', 0 FROM nation UNION ALL SELECT 'r' || r_regionkey, 'm' || r_regionkey, 'Property', 1 FROM region)"
+
+
+def _declared_members(spark, sf):
+    def part(name: str, key: str, mod: int, kind: str, ordinal) -> DataFrame:
+        id_ = F.col(key).cast("long")
+        return table(spark, sf, name).select(F.concat(F.lit(name[0]), key).alias("type_id"), F.concat(F.lit("m"), (id_ % mod).cast("string")).alias("name"), F.lit(kind).alias("kind"), ordinal(id_).cast("long").alias("ordinal"))
+
+    one, two, three = part("supplier", "s_suppkey", 7, "Method", lambda k: k % 3), part("nation", "n_nationkey", 5, "Method", lambda _: F.lit(0)), part("region", "r_regionkey", 1000, "Property", lambda _: F.lit(1))
+    return one.unionByName(two).unionByName(three)
+
+
+@query(f"""WITH {_CLOSURE}, {_OWN}, a AS (SELECT type_id, name, kind, ordinal, 0 AS depth, type_id AS declared_in FROM own UNION ALL SELECT t, name, kind, ordinal, depth, b FROM c JOIN own ON b = type_id)
+SELECT type_id, name, kind, declared_in, depth FROM a QUALIFY row_number() OVER (PARTITION BY type_id, name, kind ORDER BY depth, ordinal, declared_in) = 1""")
+def get_type_members(spark, sf):
+    bases = graph.closure(star.type_edges(spark, sf), "type_id", "base_id")
+    return declarations.members(_declared_members(spark, sf), bases).select("type_id", "name", "kind", "declared_in", "depth")
+
+
+@query(f"""WITH {_OWN}, w AS (SELECT DISTINCT 's' || l_suppkey AS type_id FROM lineitem WHERE l_returnflag = 'R')
+SELECT type_id, name, CASE WHEN name IS NULL THEN 'not found' END AS error FROM w LEFT JOIN own USING (type_id)""")
+def get_type_members_batch(spark, sf):
+    wanted = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("type_id")).distinct()
+    found = declarations.members(_declared_members(spark, sf), spark.createDataFrame([], "src string, dst string, depth int"), inherited=False, limit=50)
+    return wanted.join(found.select("type_id", "name"), "type_id", "left").withColumn("error", F.when(F.col("name").isNull(), "not found"))
+
+
+@query(f"""WITH {_CLOSURE}, u AS (SELECT t, string_agg(b, ',' ORDER BY depth, b) AS bases FROM c GROUP BY 1), k AS (SELECT b, t, row_number() OVER (PARTITION BY b ORDER BY t) AS rk FROM e),
+d AS (SELECT b, count(*) AS n, string_agg(t, ',' ORDER BY t) FILTER (rk <= 5) AS derived FROM k GROUP BY 1)
+SELECT type_id, coalesce(bases, '') AS bases, coalesce(n, 0) AS n_derived, coalesce(derived, '') AS derived FROM (SELECT t AS type_id FROM e UNION SELECT b FROM e) LEFT JOIN u ON type_id = u.t LEFT JOIN d ON type_id = d.b""")
+def get_type_hierarchy(spark, sf):
+    edges = star.type_edges(spark, sf)
+    types = edges.select("type_id").unionByName(edges.select(F.col("base_id").alias("type_id"))).distinct()
+    found = declarations.hierarchy(types, edges, graph.closure(edges, "type_id", "base_id"), max_derived=5)
+    return found.select("type_id", F.array_join("bases", ",").alias("bases"), "n_derived", F.array_join("derived", ",").alias("derived"))
+
+
+@query(f"""WITH {_CLOSURE} SELECT b AS base_id, t AS type_id, depth FROM c WHERE starts_with(b, 'r') AND starts_with(t, 's')""")
+def find_implementations(spark, sf):
+    pairs = graph.closure(star.type_edges(spark, sf), "type_id", "base_id")
+    return pairs.where(F.startswith("dst", F.lit("r")) & F.startswith("src", F.lit("s"))).select(F.col("dst").alias("base_id"), F.col("src").alias("type_id"), "depth")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, ['AddScoped', 'TryAddTransient', 'AddKeyedSingleton', 'AddHostedService', 'UseRouting', 'MapGet', 'AddSingletonFor'][l_linenumber] AS method, l_partkey AS service, CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_partkey END AS implementation FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <= 7)
+SELECT *, CASE WHEN contains(method, 'Scoped') THEN 'Scoped' WHEN contains(method, 'Transient') THEN 'Transient' WHEN contains(method, 'Singleton') THEN 'Singleton' ELSE 'Hosted' END AS lifetime FROM c WHERE method NOT IN ('UseRouting', 'MapGet')""")
+def get_di_registrations(spark, sf):
+    names = F.array(*map(F.lit, ("AddScoped", "TryAddTransient", "AddKeyedSingleton", "AddHostedService", "UseRouting", "MapGet", "AddSingletonFor")))
+    receiver = F.when(F.col("l_returnflag") == "A", "IServiceCollection").otherwise("IRouter")
+    args = F.when(F.col("l_linestatus") == "F", F.array("l_partkey", "l_suppkey")).otherwise(F.array("l_partkey"))
+    calls = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.get(names, F.col("l_linenumber") - 1).alias("method"), receiver.alias("receiver"), args.alias("type_args"))
+    return declarations.registrations(calls).select("l_orderkey", "l_linenumber", "method", "service", "implementation", "lifetime")
+
+
+@query("""SELECT s_suppkey AS project, CASE WHEN s_suppkey % 3 < 2 THEN 'pkg' || s_nationkey END AS package, CASE s_suppkey % 3 WHEN 0 THEN '1.' || s_nationkey WHEN 1 THEN 'unknown' END AS version FROM supplier
+UNION ALL SELECT s_suppkey, 'child', '2' FROM supplier WHERE s_suppkey % 3 = 0""")
+def get_nuget_dependencies(spark, sf):
+    s = table(spark, sf, "supplier")
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('<PackageReference Include="pkg'), "s_nationkey", F.lit('" Version="1.'), "s_nationkey", F.lit('" /><PackageReference Include="child"><Version>2</Version></PackageReference>')))
+    line = line.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('<PackageReference Include="pkg'), "s_nationkey", F.lit('"/>'))).otherwise("")
+    xml = F.concat(F.lit("<Project><ItemGroup>"), line, F.lit("</ItemGroup></Project>"))
+    return declarations.packages(s.select(F.col("s_suppkey").alias("project"), xml.alias("xml")))
+
+
+_PATHS = "SELECT source, text, 'root/' || source || '/' || lang || '/f' || doc_id || '.g.cs' AS path, doc_id FROM documents"
+
+
+def _paths(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("source", "text", F.concat(F.lit("root/"), "source", F.lit("/"), "lang", F.lit("/f"), "doc_id", F.lit(".g.cs")).alias("path"), "doc_id")
+
+
+@query(f"""SELECT source, path FROM ({_PATHS}) WHERE contains(lower(path), 'f1') QUALIFY row_number() OVER (PARTITION BY source ORDER BY path) = 1""")
+def get_generated_code(spark, sf):
+    return declarations.first_containing(_paths(spark, sf), "F1", keys=["source"]).select("source", "path")
+
+
+@query(f"""SELECT source, count(*) AS n_files, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM ({_PATHS}) WHERE path IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY 1""")
+def get_source_generators(spark, sf):
+    written = table(spark, sf, "labels").select("doc_id").where("doc_id is not null")
+    found = declarations.generated(_paths(spark, sf), written, key="doc_id")
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.size(F.split("text", "\n", -1))).alias("n_lines"))
+
+
+@query("""WITH d AS (SELECT user_id AS doc_id, CASE event_type WHEN 'error' THEN 'CS0162' ELSE event_type END AS id, event_id % 500 AS a, event_id % 500 + 10 AS b, event_id AS ordinal FROM events), p AS (SELECT DISTINCT doc_id, id, 250 AS pos FROM d),
+r AS (SELECT d.*, CASE WHEN a <= pos AND pos <= b THEN 1 WHEN abs(a - pos) < 50 THEN 2 ELSE 3 END AS tier FROM p JOIN d USING (doc_id, id))
+SELECT doc_id, id, tier, ordinal, CASE WHEN id = 'CS0162' THEN 'Remove unreachable code;Fix control flow logic' ELSE 'Review diagnostic message for fix guidance;Consult C# documentation for ' || id END AS suggestions
+FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY tier, a, ordinal) = 1""")
+def get_code_fixes(spark, sf):
+    start = F.col("event_id") % 500
+    id_ = F.when(F.col("event_type") == "error", "CS0162").otherwise(F.col("event_type"))
+    found = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), id_.alias("id"), start.alias("span_start"), (start + 10).alias("span_end"), F.col("event_id").alias("ordinal"))
+    positions = found.select("doc_id", "id").distinct().withColumn("pos", F.lit(250))
+    return declarations.suggestions(declarations.nearest_diagnostic(positions, found)).select("doc_id", "id", "tier", "ordinal", F.array_join("suggestions", ";").alias("suggestions"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS method_id, ['Create', 'Build', 'New', 'Get', 'Set'][o_orderkey % 5 + 1] || o_orderpriority AS name, o_custkey % 50 AS owner_id, o_custkey AS value_type FROM orders WHERE o_orderkey % 5 < 3)
+SELECT value_type, method_id, row_number() OVER (PARTITION BY value_type ORDER BY owner_id, name, method_id) - 1 AS ordinal, count(*) OVER (PARTITION BY value_type) AS n_factories FROM m WHERE owner_id <> value_type QUALIFY ordinal < 5""")
+def get_instantiation_options(spark, sf):
+    names = F.array(*map(F.lit, ("Create", "Build", "New", "Get", "Set")))
+    name = F.concat(F.get(names, (F.col("o_orderkey") % 5).cast("int")), "o_orderpriority")
+    methods = table(spark, sf, "orders").select(F.col("o_orderkey").alias("method_id"), name.alias("name"), (F.col("o_custkey") % 50).alias("owner_id"), F.col("o_custkey").alias("value_type"))
+    return declarations.factories(methods).select("value_type", "method_id", F.col("ordinal").cast("long").alias("ordinal"), "n_factories")
+
+
+_WIDE = ", ".join(f"('{a}', '{b}')" for a, wider in declarations.WIDENING.items() for b in wider)
+_NUMERIC = ", ".join(f"'{a}'" for a in declarations.WIDENING)
+
+
+@query(f"""WITH {_CLOSURE}, wide(a, b) AS (VALUES {_WIDE}), t AS (SELECT [{_NUMERIC}, 'object'] AS names),
+p AS (SELECT names[c_custkey % 13 + 1] AS source, names[c_custkey // 13 % 13 + 1] AS target FROM customer, t UNION SELECT 'n' || n_nationkey, 'r' || (n_nationkey % 5) FROM nation UNION SELECT 'r' || (n_nationkey % 5), 'n' || n_nationkey FROM nation)
+SELECT source, target, CASE WHEN source = target THEN 'Identity' WHEN (source, target) IN (SELECT (a, b) FROM wide) THEN 'ImplicitNumeric' WHEN source IN ({_NUMERIC}) AND target IN ({_NUMERIC}) THEN 'ExplicitNumeric'
+WHEN target = 'object' THEN 'Boxing' WHEN source = 'object' THEN 'Unboxing' WHEN (source, target) IN (SELECT (t, b) FROM c) THEN 'ImplicitReference' WHEN (target, source) IN (SELECT (t, b) FROM c) THEN 'Explicit' ELSE 'None' END AS conversion FROM p""")
+def check_type_compatibility(spark, sf):
+    names = F.array(*map(F.lit, [*declarations.WIDENING, "object"]))
+    key, n = F.col("c_custkey"), table(spark, sf, "nation")
+    numeric = table(spark, sf, "customer").select(F.get(names, (key % 13).cast("int")).alias("source"), F.get(names, (F.floor(key / 13) % 13).cast("int")).alias("target"))
+    a, b = F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), (F.col("n_nationkey") % 5).cast("string"))
+    pairs = numeric.unionByName(n.select(a.alias("source"), b.alias("target"))).unionByName(n.select(b.alias("source"), a.alias("target"))).distinct()
+    return declarations.conversion(pairs, graph.closure(star.type_edges(spark, sf), "type_id", "base_id"))
+
+
+@query("""WITH d AS (SELECT source AS type_id, 'f' || (doc_id % 10) AS name, row_number() OVER (PARTITION BY source, doc_id % 10 ORDER BY doc_id) - 1 AS i, text FROM documents),
+q AS (SELECT s_suppkey AS request_id, 'src' || (s_suppkey % 4) AS type_id, 'f' || (s_suppkey % 12) AS name, s_suppkey % 3 * 20 AS i FROM supplier), r AS (SELECT request_id, substr(text, 6, 40) AS source, d.i AS di, (q.type_id, q.name) IN (SELECT (type_id, name) FROM d) AS known FROM q LEFT JOIN d ON q.type_id = d.type_id AND q.name = d.name AND q.i = d.i)
+SELECT request_id, source, CASE WHEN di IS NOT NULL THEN len(string_split(source, chr(10))) END::BIGINT AS n_lines, CASE WHEN NOT known THEN 'not found' WHEN di IS NULL THEN 'index out of range' END AS error FROM r""")
+def get_method_source(spark, sf):
+    d, s = table(spark, sf, "documents"), table(spark, sf, "supplier")
+    name = F.concat(F.lit("f"), (F.col("doc_id") % 10).cast("string"))
+    rank = F.row_number().over(Window.partitionBy("source", name).orderBy("doc_id")) - 1
+    declared = d.select(F.col("source").alias("type_id"), name.alias("name"), rank.cast("long").alias("ordinal"), "doc_id", F.lit(5).alias("span_start"), F.lit(40).alias("span_length"))
+    k = F.col("s_suppkey")
+    requests = s.select(k.alias("request_id"), F.concat(F.lit("src"), (k % 4).cast("string")).alias("type_id"), F.concat(F.lit("f"), (k % 12).cast("string")).alias("name"), (k % 3 * 20).alias("index"))
+    return declarations.sources(requests, declared, d).withColumn("n_lines", F.col("n_lines").cast("long"))
+
+
+@query(f"""WITH {_DIAG}, s AS (SELECT doc_id, sum((severity = 'Error')::INT)::BIGINT AS e, sum((severity = 'Warning')::INT)::BIGINT AS w, sum((severity = 'Info')::INT)::BIGINT AS i FROM d GROUP BY 1), t AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT x.doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, coalesce(e, 0) AS n_errors, coalesce(w, 0) AS n_warnings, coalesce(i, 0) AS n_infos, coalesce(n, 0) AS n_types FROM documents x LEFT JOIN s ON x.doc_id = s.doc_id LEFT JOIN t ON x.doc_id = l_orderkey""")
+def get_file_overview(spark, sf):
+    types = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    return declarations.file_overview(table(spark, sf, "documents"), audits.diagnostics(star.diagnostics(spark, sf)), types)
+
+
+_DIRS = "SELECT ['root', 'root/src0', 'root/src1/en', 'root/src2/fr', 'other'][r_regionkey + 1] AS dir, r_name AS project FROM region"
+
+
+@query(f"""SELECT path, arg_max(project, length(dir)) AS project FROM ({_PATHS}) LEFT JOIN ({_DIRS}) ON starts_with(path, dir || '/') WHERE path IS NOT NULL GROUP BY 1""")
+def sync_new_documents(spark, sf):
+    dirs = F.array(*map(F.lit, ("root", "root/src0", "root/src1/en", "root/src2/fr", "other")))
+    projects = table(spark, sf, "region").select(F.get(dirs, F.col("r_regionkey")).alias("dir"), F.col("r_name").alias("project"))
+    return declarations.owning_project(_paths(spark, sf).where("path is not null").select("path"), projects)
+
+
+@query("""SELECT p_brand AS type_id, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS summary, p_partkey AS ordinal FROM part WHERE p_size > 25 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 20""")
+def get_external_type_info(spark, sf):
+    p = table(spark, sf, "part")
+    xml = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<member><summary>\n "), "p_name", F.lit("</summary></member>"))).otherwise(F.col("p_type"))
+    symbols = p.select(F.col("p_brand").alias("type_id"), F.col("p_name").alias("name"), F.lit("Public").alias("accessibility"), (F.col("p_size") <= 25).alias("in_source"), xml.alias("doc_xml"), F.col("p_partkey").alias("ordinal"))
+    return declarations.external_members(symbols, limit=20).select("type_id", "name", "summary", "ordinal")
