@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import metrics, predicates
-from factgraph.operators import audits, declarations, graph, references, search
+from factgraph.operators import audits, declarations, graph, lookup, references, search
 from factgraph.runtime import table
 from factgraph.sources import star
 
@@ -390,3 +390,99 @@ def get_external_type_info(spark, sf):
     xml = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<member><summary>\n "), "p_name", F.lit("</summary></member>"))).otherwise(F.col("p_type"))
     symbols = p.select(F.col("p_brand").alias("type_id"), F.col("p_name").alias("name"), F.lit("Public").alias("accessibility"), (F.col("p_size") <= 25).alias("in_source"), xml.alias("doc_xml"), F.col("p_partkey").alias("ordinal"))
     return declarations.external_members(symbols, limit=20).select("type_id", "name", "summary", "ordinal")
+
+
+_AT = """n AS (SELECT l_orderkey AS doc_id, l_linenumber AS node_id, l_linenumber * 5 AS a, l_linenumber * 5 + 3 + l_suppkey % 7 AS b, l_partkey AS symbol_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS rn FROM lineitem),
+p AS (SELECT o_orderkey AS doc_id, o_orderkey % 40 AS pos FROM orders),
+h AS (SELECT p.doc_id, pos, node_id, symbol_id FROM p LEFT JOIN n ON n.doc_id = p.doc_id AND a <= pos AND pos < b AND rn = 1 QUALIFY row_number() OVER (PARTITION BY p.doc_id, pos ORDER BY b - a, a, node_id) = 1)"""
+
+
+def _symbols_at(spark, sf):
+    x, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    start = F.col("l_linenumber") * 5
+    nodes = x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node_id"), start.alias("span_start"), (start + 3 + F.col("l_suppkey") % 7).alias("span_end"), F.col("l_partkey").alias("symbol_id"), (F.col("l_returnflag") == "N").alias("declares"))
+    nodes = search.first_per_key(nodes, ["doc_id", "node_id"], ["symbol_id"])
+    own, refs = (nodes.where(w).select("doc_id", "node_id", "symbol_id") for w in ("declares", "not declares"))
+    positions = o.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 40).alias("pos"))
+    return lookup.symbol_at(positions, nodes.select("doc_id", "node_id", "span_start", "span_end"), refs, own)
+
+
+@query(f"""WITH {_AT} SELECT doc_id, pos, node_id, symbol_id, p_name AS name FROM h LEFT JOIN part ON symbol_id = p_partkey""")
+def get_symbol_info(spark, sf):
+    return _symbols_at(spark, sf).join(star.symbols(spark, sf).select("symbol_id", "name"), "symbol_id", "left").select("doc_id", "pos", "node_id", "symbol_id", "name")
+
+
+@query(f"""WITH {_AT} SELECT doc_id, pos, symbol_id, CASE WHEN p_size > 10 THEN p_size END AS def_start, CASE WHEN symbol_id IS NULL THEN 'no symbol' WHEN p_partkey IS NULL OR p_size <= 10 THEN 'not in source' END AS error FROM h LEFT JOIN part ON symbol_id = p_partkey""")
+def go_to_definition(spark, sf):
+    p = star.symbols(spark, sf)
+    places = p.select("symbol_id", (F.col("size") > 10).alias("in_source"), F.col("symbol_id").alias("def_doc"), F.col("size").alias("def_start"), (F.col("size") + 1).alias("def_end"))
+    return lookup.definitions(_symbols_at(spark, sf), places).select("doc_id", "pos", "symbol_id", "def_start", "error")
+
+
+@query("""WITH r AS (SELECT l_partkey AS symbol_id, l_suppkey AS in_symbol_id, l_orderkey || ':' || l_linenumber AS place, l_orderkey AS d, l_linenumber AS l FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY symbol_id, in_symbol_id ORDER BY d, l) AS rn FROM r),
+p AS (SELECT symbol_id, in_symbol_id, count(*) AS n_locations, string_agg(place, ';' ORDER BY d, l) FILTER (WHERE rn <= 3) AS locations FROM f GROUP BY 1, 2)
+SELECT symbol_id, in_symbol_id, n_locations, locations, count(*) OVER (PARTITION BY symbol_id) AS n_callers FROM p QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY in_symbol_id) <= 20""")
+def analyze_method(spark, sf):
+    return lookup.method_usage(star.refs(spark, sf)).select("symbol_id", "in_symbol_id", "n_locations", "locations", "n_callers")
+
+
+def _solution(spark, sf):
+    d = table(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("project"), "doc_id")
+    return d.select("project").distinct().withColumn("ordinal", F.col("project")), d
+
+
+@query(f"""WITH {_DIAG}, x AS (SELECT coalesce(source, 'none') AS project, doc_id FROM documents), h AS (SELECT DISTINCT project FROM x ORDER BY 1 LIMIT 5),
+b AS (SELECT d.severity FROM d JOIN x USING (doc_id) WHERE project IN (SELECT project FROM h))
+SELECT (SELECT count(DISTINCT project) FROM x) AS n_projects, (SELECT count(*) FROM x) AS n_documents, (SELECT count(*) FROM b WHERE severity = 'Error') AS n_errors, (SELECT count(*) FROM b WHERE severity = 'Warning') AS n_warnings, 'Ready' AS status""")
+def health_check(spark, sf):
+    projects, documents = _solution(spark, sf)
+    return lookup.health(projects, documents, audits.diagnostics(star.diagnostics(spark, sf)).join(documents, "doc_id"))
+
+
+@query("""SELECT coalesce(source, 'none') AS project, count(*) AS n_documents FROM documents GROUP BY 1""")
+def load_solution(spark, sf):
+    projects, documents = _solution(spark, sf)
+    return projects.join(documents, "project").groupBy("project").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+_USINGS = """u AS (SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'System.' ELSE '' END || regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g') AS ns FROM nation),
+g AS (SELECT r_name AS name, string_agg('using ' || ns || ';', chr(10) ORDER BY n_nationkey) || chr(10) || 'class A {}' AS text, string_agg('using ' || ns || ';', chr(10) ORDER BY NOT starts_with(ns, 'System'), ns) || chr(10) || 'class A {}' AS organised FROM u JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"""
+
+
+def _files(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    name = F.concat(F.when(F.col("n_nationkey") % 3 == 0, "System.").otherwise(""), F.regexp_replace("n_name", "[^A-Za-z0-9]", ""))
+    lines = F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("using "), name, F.lit(";")).alias("line"))))
+    text = F.concat(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\nclass A {}"))
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("name")).agg(text.alias("text"))
+
+
+@query(f"""WITH {_USINGS} SELECT name, organised, organised <> text AS changed FROM g""")
+def organize_usings(spark, sf):
+    return lookup.organised(_files(spark, sf)).select("name", "organised", "changed")
+
+
+@query(f"""WITH {_USINGS} SELECT name, organised FROM g WHERE regexp_matches(name, '^A.*$', 'i') AND organised <> text""")
+def organize_usings_batch(spark, sf):
+    return lookup.organised(_files(spark, sf), pattern="a*", changed_only=True).select("name", "organised")
+
+
+@query("""WITH m AS (SELECT p_brand AS type_id, p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || ' M' || p_partkey || '(int size);' WHEN 1 THEN p_type || ' P' || p_partkey || CASE WHEN p_size > 25 THEN ' { get; set; }' ELSE ' { get; }' END WHEN 2 THEN 'event ' || p_type || ' E' || p_partkey || ';' END AS line FROM part WHERE p_size > 10)
+SELECT type_id, 'namespace Shop' || chr(10) || '{' || chr(10) || '    public interface IPart' || chr(10) || '    {' || chr(10) || string_agg('        ' || line, chr(10) ORDER BY p_partkey) || chr(10) || '    }' || chr(10) || '}' || chr(10) AS text FROM m WHERE line IS NOT NULL GROUP BY 1""")
+def extract_interface(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    kind = F.get(F.array(*map(F.lit, ("Method", "Property", "Event", "Field"))), (k % 4).cast("int"))
+    letter = F.get(F.array(*map(F.lit, "MPEF")), (k % 4).cast("int"))
+    members = p.select(F.col("p_brand").alias("type_id"), F.lit("Shop").alias("namespace"), F.lit("IPart").alias("interface_name"), k.alias("ordinal"), F.concat(letter, k.cast("string")).alias("name"), kind.alias("kind"), F.col("p_type").alias("value_type"), F.lit("int size").alias("parameters"), F.lit(True).alias("has_getter"), (F.col("p_size") > 25).alias("has_setter"), F.when(F.col("p_size") > 10, "Public").otherwise("Internal").alias("accessibility"), F.lit(False).alias("is_static"))
+    return lookup.interface_text(members).select("type_id", "text")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS symbol_id, l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS a FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10),
+f AS (SELECT *, row_number() OVER (PARTITION BY symbol_id, doc_id ORDER BY a) AS rn FROM e)
+SELECT symbol_id, doc_id, count(*) AS n_changes, string_agg(a::VARCHAR, ',' ORDER BY a) FILTER (WHERE rn <= 20) AS starts, 'part' || symbol_id AS new_text FROM f GROUP BY 1, 2""")
+def rename_symbol(spark, sf):
+    p, x = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    renames = p.select(F.col("p_partkey").alias("symbol_id"), F.concat(F.when(F.col("p_size") > 10, "part").otherwise("1"), F.col("p_partkey").cast("string")).alias("new_name"))
+    at = x.select(F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_start"), F.lit(4).alias("span_length")).distinct()
+    return lookup.edit_summary(lookup.rename_edits(renames, at))
