@@ -168,8 +168,12 @@ def links(found: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the smallest id that each document reaches through links and copies."""
     found = materialise(fingerprints(docs, id_col=id_col, text_col=text_col))
+    return named(found, components(links(found)), id_col)
+
+
+def named(found: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """(id, fp, component_id) of ``found`` (id, fp), given the root of each fp that has links."""
     low = found.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(links(found))
     named = low.join(roots, low["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     # Partial minima first: a component of very many fingerprints reaches its task as few rows.
     tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -184,13 +188,13 @@ def digest(docs: DataFrame, **names) -> DataFrame:
     return out.select(out.columns[0], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each group: the one with the smallest id, whole and unchanged.
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped=groups) -> DataFrame:
+    """The documents, one of each group of ``grouped``: the one with the smallest id, whole and unchanged.
 
     Rows of one id that are equal in every column are one document. Rows whose id is null cannot be
     told apart by it and stay.
     """
-    found = groups(docs, id_col=id_col, text_col=text_col)
+    found = grouped(docs, id_col=id_col, text_col=text_col)
     lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
     twice = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
