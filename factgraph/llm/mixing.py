@@ -1,16 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling (native).
 
-Each source is cut into blocks of ``block`` documents in hash order. With a weight of ``k/period``,
-block j is released at floor(j * period / k) and due at ceil((j + 1) * period / k); earliest deadline
-first among the released fills one slot after another. The weights sum to 1, so every block runs
-within its window, and after any number of slots each source is less than one block away from its
-target. The schedule repeats after ``period`` slots, so only that many slots are ever computed: a
-bounded table on the driver, made from the weights alone.
+Each source is cut into blocks of ``block`` documents in hash order. With a weight of ``k/total``,
+block j is released at floor(j * total / k) and due at ceil((j + 1) * total / k); earliest deadline
+first among the released fills one slot after another. The weights are taken exactly, as whole
+numbers ``k`` of any length, and sum to 1, so every block runs within its window, and after any
+number of slots, however many, each source is less than one block away from its target. The
+driver walks the schedule with at most two blocks of each source in memory and writes a row per
+block to the shared folder, a million at a time.
 
 Documents find their slot by arithmetic. Ranks within a source are split over ``buckets`` hash
 ranges: a source with a third of all rows is ranked by ``buckets`` tasks, and bucket offsets are
-prefix sums over a small table of counts. The schedule ends once every document of every source
-has been used; sources that are exhausted earlier start another epoch, so no row is dropped.
+prefix sums over a small table of counts. A range holds consecutive blocks in each epoch; their
+slots are joined to the range, not to its documents. The schedule ends once every document of every
+source has been used; sources that are exhausted earlier start another epoch, so no row is dropped.
+
+With ``period`` the weights are first rounded to whole shares of so many slots, at least 1 each, and
+the schedule repeats after them; it then keeps to the rounded weights, not to the given ones.
 
 Defined results: documents with a null source are a source of their own; equal rows are separate
 documents that take adjacent ranks; a null id hashes like any other value; an empty table gives an
@@ -22,11 +27,20 @@ from __future__ import annotations
 import heapq
 import json
 import math
-
-from pyspark.sql import Column, DataFrame, Window
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PERIOD, BLOCK, BUCKETS, ALPHA = 1024, 16, 1024, 0.7
+from factgraph.runtime import materialise
+
+BLOCK, BUCKETS, ALPHA = 16, 1024, 0.7
 MAX_SOURCES = 10_000
 
 
@@ -49,39 +63,62 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def edf(share: dict[str, int], period: int) -> dict[str, list[int]]:
-    """The slots of each source within one period, earliest deadline first among released blocks."""
-    release = lambda k, j: j * period // k
-    waiting = [[] for _ in range(period + 1)]
-    for s, k in share.items():
-        for j in range(k):
-            waiting[release(k, j)].append((-(-(j + 1) * period // k), s, j))
-    slots, ready = {s: [0] * k for s, k in share.items()}, []
-    for slot in range(period if share else 0):
-        for block in waiting[slot]:
-            heapq.heappush(ready, block)
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    if not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive")
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in parts.values()))
+    return {s: int(w * unit) for s, w in parts.items()}
+
+
+def turns(share: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) for one slot after another, without end: earliest deadline first among released blocks."""
+    total, ready = sum(share.values()), []
+    calendar = [(0, s, 0) for s in sorted(share)]
+    slot = 0
+    while share:
+        while calendar and calendar[0][0] <= slot:
+            _, s, j = heapq.heappop(calendar)
+            heapq.heappush(ready, (-(-(j + 1) * total // share[s]), s, j))
+            heapq.heappush(calendar, ((j + 1) * total // share[s], s, j + 1))
         deadline, s, j = heapq.heappop(ready)
         if slot >= deadline:
             raise RuntimeError("a deadline was missed")
-        slots[s][j] = slot
+        yield s, j
+        slot += 1
+
+
+def edf(share: dict[str, int], period: int) -> dict[str, list[int]]:
+    """The slots of each source within one period, the sum of all shares."""
+    slots = {s: [] for s in share}
+    for slot, (s, _) in enumerate(islice(turns(share), period)):
+        slots[s].append(slot)
     return slots
 
 
-def _schedule(counts: dict[str, int], weights: dict[str, float], period: int, block: int) -> list[dict]:
-    """Per source: its rows, shares and slots, and how many rows it fills until every source is used up."""
-    share = shares(weights, period)
-    slots = edf(share, period)
-    at = lambda s, j: j // share[s] * period + slots[s][j % share[s]]
-    end = max((at(s, -(-counts[s] // block) - 1) + 1 for s in counts), default=0)
-    filled = {s: end // period * share[s] + sum(x < end % period for x in slots[s]) for s in counts}
-    return [{"key": s, "rows": counts[s], "share": share[s], "slots": slots[s], "filled": filled[s] * block} for s in sorted(counts)]
+def _schedule(spark: SparkSession, share: dict[str, int], needed: dict[str, int], most: int = 1 << 20) -> DataFrame:
+    """(number_, turn_, slot_) per block, sources by number in order, until every source has had the blocks it needs, ``most`` rows at a time."""
+    names, open_, walk, parts = sorted(share), sum(n > 0 for n in needed.values()), enumerate(turns(share)), []
+    number = {s: i for i, s in enumerate(names)}
+    while open_ or not parts:
+        keys, blocks, slots = array("q"), array("q"), array("q")
+        while open_ and len(slots) < most:
+            slot, (s, j) = next(walk)
+            keys.append(number[s])
+            blocks.append(j)
+            slots.append(slot)
+            open_ -= j + 1 == needed[s]
+        columns = [pa.array(np.frombuffer(x, np.int64) if x else [], pa.int64()) for x in (keys, blocks, slots)]
+        parts.append(materialise(spark.createDataFrame(pa.table(columns, names=["number_", "turn_", "slot_"]))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] = (), alpha: float = ALPHA, period: int = PERIOD, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] = (), alpha: float = ALPHA, period: int | None = None, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
     """The schedule: ``keep`` (or id and source) with epoch, slot and position.
 
     ``weights`` gives each source its target; without it the targets are the source sizes to the
@@ -95,7 +132,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     found = {r["key_"]: r["n"] for r in tally.groupBy("key_").agg(F.sum("n_").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    period = max(period, 1 << (4 * len(found)).bit_length()) if len(found) > period // 4 else period
     if weights is None:
         target = {s: n**alpha for s, n in found.items()}
     else:
@@ -103,18 +139,34 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
         if found.keys() - target.keys():
             raise ValueError(f"sources without a weight: {sorted(found.keys() - target.keys())}")
         target = {s: target[s] for s in found}
-    schedule = _schedule(found, target, period, block)
-    schema = "array<struct<key:string,rows:bigint,share:bigint,slots:array<bigint>,filled:bigint>>"
-    # At most MAX_SOURCES rows that hold `period` slots in all.
-    plan = F.broadcast(spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(schedule)), schema)).alias("s")).select(F.col("s.key").alias("key_"), "s.rows", "s.share", "s.slots", "s.filled"))
+    if period is None:
+        share = exact(target)
+    else:
+        share = shares(target, max(period, 1 << (4 * len(found)).bit_length()) if len(found) > period // 4 else period)
+    needed = {s: -(-n // block) for s, n in found.items()}
+    slots = _schedule(spark, share, needed)
+    # No block of a source is released after the last deadline of those that are needed.
+    total = sum(share.values())
+    end = max((-(-n * total // share[s]) for s, n in needed.items()), default=0)
+    limits = [{"key": s, "number": i, "rows": n, "limit": -(-end * share[s] // total) + 1} for i, (s, n) in enumerate(sorted(found.items()))]
+    # At most MAX_SOURCES rows.
+    plan = F.broadcast(spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(limits)), "array<struct<key:string,number:bigint,rows:bigint,limit:bigint>>")).alias("s")).select(F.col("s.key").alias("key_"), F.col("s.number").alias("number_"), "s.rows", "s.limit"))
     before = F.sum("n_").over(Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = tally.select("key_", "bucket_", F.coalesce(before, F.lit(0)).alias("before_"))
+    offsets = tally.select("key_", "bucket_", "n_", F.coalesce(before, F.lit(0)).alias("before_")).join(plan, "key_")
+    # The blocks that a bucket's documents lie in, epoch by epoch, and the slots of those that are scheduled.
+    last = F.floor((F.col("limit") * block - 1 - F.col("before_")) / F.col("rows")).cast("long")
+    runs = offsets.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    begin = F.col("before_") + F.col("epoch") * F.col("rows")
+    within = F.sequence(F.floor(begin / block).cast("long"), F.floor((begin + F.col("n_") - 1) / block).cast("long"))
+    runs = runs.withColumn("turn_", F.explode(within)).join(slots, ["number_", "turn_"])
+    runs = runs.groupBy("key_", "bucket_", "before_", "rows", "epoch").agg(F.sort_array(F.collect_list(F.struct("turn_", "slot_"))).alias("slots"))
+    runs = runs.groupBy("key_", "bucket_", "before_", "rows").agg(F.collect_list(F.struct("epoch", F.col("slots")[0]["turn_"].alias("base"), F.col("slots.slot_").alias("slots"))).alias("runs"))
     ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("key_", "bucket_").orderBy("hash_", "id_")) - 1)
-    placed = ranked.join(offsets, ["key_", "bucket_"]).join(plan, "key_")
+    placed = ranked.join(runs, ["key_", "bucket_"])
     placed = placed.withColumn("first_", F.col("rank_") + F.col("before_"))
-    last = F.floor((F.col("filled") - 1 - F.col("first_")) / F.col("rows"))
-    placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    element = F.col("first_") + F.col("epoch") * F.col("rows")
-    turn = F.floor(element / block)
-    slot = F.floor(turn / F.col("share")) * period + F.get(F.col("slots"), (turn % F.col("share")).cast("int"))
-    return placed.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], "epoch", slot.cast("long").alias("slot"), (slot * block + element % block).cast("long").alias("position"))
+    element = lambda epoch: F.col("first_") + epoch * F.col("rows")
+    slot = lambda r: F.get(r["slots"], (F.floor(element(r["epoch"]) / block) - r["base"]).cast("int"))
+    uses = F.transform("runs", lambda r: F.struct(r["epoch"].alias("epoch"), slot(r).alias("slot")))
+    placed = placed.withColumn("use_", F.explode(F.filter(uses, lambda u: u["slot"].isNotNull())))
+    position = F.col("use_.slot") * block + element(F.col("use_.epoch")) % block
+    return placed.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], F.col("use_.epoch").alias("epoch"), F.col("use_.slot").alias("slot"), position.cast("long").alias("position"))
