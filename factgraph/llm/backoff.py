@@ -149,7 +149,7 @@ def _scores(order: int, alpha: float):
             context = np.concatenate(([0], elsewhere[n - 2][:-1]))[: len(score)]
             possible, hit = found[n - 1] != 0, elsewhere[n - 1] > 0
             score = np.where(hit, elsewhere[n - 1] / np.maximum(context, 1), np.where(possible, alpha * score, score))
-            backed = possible & ~hit
+            backed = np.where(possible, ~hit, backed)
         logs = np.bincount(owner, np.log(score), n_docs) if len(score) else np.zeros(n_docs)
         return pa.table([docs.column("id"), pa.array(length, pa.int64()), pa.array(np.bincount(owner, backed, n_docs).astype(np.int64)), pa.array(logs, pa.float64())], names=names)
 
@@ -193,3 +193,34 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)
        round(coalesce(lp, 0), 6) AS logprob, round(lp / n_words, 6) AS mean_logprob
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
+
+#: The same for trigrams: words that no trigram reaches, at the start of a text, back off from bigrams.
+TRIGRAM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS c, CASE WHEN i > 2 THEN w[i - 2] END AS e FROM d, unnest(range(1, len(w) + 1)) AS r(i)
+), n AS (SELECT count(*) AS n FROM p),
+l AS (SELECT doc_id, len(w) AS len FROM d),
+u AS (SELECT u, count(*) AS t FROM p GROUP BY u), ud AS (SELECT doc_id, u, count(*) AS t FROM p GROUP BY ALL),
+b AS (SELECT c, u, count(*) AS t FROM p WHERE c IS NOT NULL GROUP BY ALL), bd AS (SELECT doc_id, c, u, count(*) AS t FROM p WHERE c IS NOT NULL GROUP BY ALL),
+g AS (SELECT e, c, u, count(*) AS t FROM p WHERE e IS NOT NULL GROUP BY ALL), gd AS (SELECT doc_id, e, c, u, count(*) AS t FROM p WHERE e IS NOT NULL GROUP BY ALL),
+x AS (
+  SELECT p.doc_id, p.i, u.t - ud.t AS uni, coalesce(b.t - bd.t, 0) AS bi, coalesce(g.t - gd.t, 0) AS tri,
+         coalesce(uc.t - ucd.t, 0) AS ctx, coalesce(bc.t - bcd.t, 0) AS ctx2, n.n - l.len AS rest
+  FROM p JOIN u ON p.u = u.u JOIN ud ON p.doc_id = ud.doc_id AND p.u = ud.u
+  LEFT JOIN b ON p.c = b.c AND p.u = b.u LEFT JOIN bd ON p.doc_id = bd.doc_id AND p.c = bd.c AND p.u = bd.u
+  LEFT JOIN g ON p.e = g.e AND p.c = g.c AND p.u = g.u LEFT JOIN gd ON p.doc_id = gd.doc_id AND p.e = gd.e AND p.c = gd.c AND p.u = gd.u
+  LEFT JOIN u AS uc ON p.c = uc.u LEFT JOIN ud AS ucd ON p.doc_id = ucd.doc_id AND p.c = ucd.u
+  LEFT JOIN b AS bc ON p.e = bc.c AND p.c = bc.u LEFT JOIN bd AS bcd ON p.doc_id = bcd.doc_id AND p.e = bcd.c AND p.c = bcd.u
+  JOIN l ON p.doc_id = l.doc_id, n
+), s AS (
+  SELECT doc_id, count(*) AS n_words, sum((CASE WHEN i > 2 THEN tri = 0 WHEN i = 2 THEN bi = 0 ELSE false END)::BIGINT)::BIGINT AS n_backoff,
+         sum(ln(CASE WHEN tri > 0 THEN tri::DOUBLE / ctx2 ELSE (CASE WHEN i > 2 THEN 0.4::DOUBLE ELSE 1 END)
+           * CASE WHEN bi > 0 THEN bi::DOUBLE / ctx ELSE (CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1 END) * (CASE WHEN uni > 0 THEN uni::DOUBLE ELSE 0.5 END) / greatest(rest, 1) END END)) AS lp
+  FROM x GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff,
+       round(coalesce(lp, 0), 6) AS logprob, round(lp / n_words, 6) AS mean_logprob
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
