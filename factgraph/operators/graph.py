@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.runtime import materialise
 
+#: After so many rounds of a fixpoint what was found is written as one table, so that plans stay small.
+_FOLD = 16
+
 
-def closure(edges: DataFrame, src: str, dst: str, max_depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(src, dst, depth): everything that each node reaches, at its smallest depth.
 
     A frontier loop: each round joins the newest pairs with the edges and keeps those not seen yet,
-    so cyclic and dense graphs do not blow up as path enumeration would. Rounds go to the shared
+    so cyclic and dense graphs do not blow up as path enumeration would, and the loop ends when a
+    round finds nothing new. Rounds go to the shared
     folder, which cuts lineage and survives lost executors.
     """
     step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     seen = frontier = materialise(step.withColumn("depth", F.lit(1)))
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         hop = frontier.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         frontier = materialise(hop.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        seen = seen if depth % _FOLD else materialise(seen)
     return seen
 
 
@@ -53,16 +60,17 @@ def on_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame
     return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"), F.count(F.lit(1)).alias("size"))
 
 
-def reached(edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every node that some root reaches, roots included."""
     step = edges.select("src", "dst").distinct()
     seen = frontier = materialise(roots.select("node").distinct())
-    for _ in range(max_rounds):
+    for depth in count(1):
         hop = frontier.join(step, frontier["node"] == step["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = materialise(hop.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        seen = seen if depth % _FOLD else materialise(seen)
     return seen
 
 
