@@ -169,4 +169,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, id_col: str
     uses = F.transform("runs", lambda r: F.struct(r["epoch"].alias("epoch"), slot(r).alias("slot")))
     placed = placed.withColumn("use_", F.explode(F.filter(uses, lambda u: u["slot"].isNotNull())))
     position = F.col("use_.slot") * block + element(F.col("use_.epoch")) % block
-    return placed.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], F.col("use_.epoch").alias("epoch"), F.col("use_.slot").alias("slot"), position.cast("long").alias("position"))
+    added = {"epoch": F.col("use_.epoch"), "slot": F.col("use_.slot"), "position": position.cast("long")}
+    return placed.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], *[c.alias(free(n, names)) for n, c in added.items()])
+
+
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many trailing underscores as it takes to differ from all others in any case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

@@ -2,7 +2,7 @@
 
 Regular expressions propose candidate spans. Four labelers vote on each (-1, 0 or 1): ``format``
 (checksums and ranges), ``gazetteer`` (host endings, calling codes, issuer and country prefixes,
-given names), ``context`` (cue words before the span) and ``boundary`` (what touches it). Votes are
+given names), ``context`` (cue words between the span and the match before it) and ``boundary`` (what touches it). Votes are
 aggregated over the whole corpus to vote patterns, at most ``kinds * 3**4`` rows whatever its size;
 expectation-maximisation over that table estimates each labeler's reliabilities and every pattern's
 posterior, and a logistic span classifier is trained on the posteriors. Its weights become a column
@@ -36,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
-MASKED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{1,63})+"
+MASKED = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{1,63})++"
 PERSON = r"(?<![A-Za-z])(?:Mr\.|Mrs\.|Ms\.|Dr\.|Herr|Frau|Mme)\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?"
 
 BASE = ("email", "ip", "card", "phone")
@@ -107,10 +107,9 @@ def _gazetteer(kind: str, found: Column) -> Column:
     }[kind]
 
 
-def _label(text: Column, kind: str, span: Column) -> Column:
-    found = span["found"]
-    before = F.substring(text, F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40)))
-    touched = before.rlike(r"[\p{L}\p{N}_]$") | F.substring(text, span["end"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
+def _label(kind: str, span: Column) -> Column:
+    found, before = span["found"], span["before"]
+    touched = before.rlike(r"[\p{L}\p{N}_]$") | span["after"].rlike(r"[\p{L}\p{N}_]")
     vote = F.when(_holds(kind, found), 1).otherwise(-1)
     cue = F.when(before.rlike(CUES), 1).when(before.rlike(ANTI_CUES), -1).otherwise(0)
     return F.struct(
@@ -119,8 +118,8 @@ def _label(text: Column, kind: str, span: Column) -> Column:
     )
 
 
-def _labelled(text: Column, kind: str) -> Callable[[Column], Column]:
-    return lambda span: _label(text, kind, span)
+def _labelled(kind: str) -> Callable[[Column], Column]:
+    return lambda span: _label(kind, span)
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +133,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     patterns = (EMAIL, IP, CARD, PHONE, SSN, IBAN, LOCAL_PHONE, MASKED, PERSON)
     for kind, pattern in zip(KINDS, patterns, strict=True):
         frame = S.matches(frame, "text_", kind, pattern, guard=F.col(f"guard_{kind}" if kind in guards else "digit_"))
-        frame = frame.withColumn(kind, F.transform(kind, _labelled(text, kind)))
+        frame = frame.withColumn(kind, F.transform(kind, _labelled(kind)))
     return frame.select(F.col("id_").alias(id_col), F.concat(*KINDS).alias("spans"))
 
 

@@ -15,7 +15,7 @@ folder.
 
 Defined results: a null, empty or blank text has fingerprint zero and links like any other; texts of
 fewer than four words have one shingle, the whole sequence; repeated rows (and rows with a null id)
-get one output row each; an empty table gives an empty result; only the id and text columns are
+get one output row each, and a component without any id has a null component_id; an empty table gives an empty result; only the id and text columns are
 read. Texts of any length are taken in blocks of shingles, in bounded memory.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm.components import components
@@ -63,12 +63,13 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], names=["id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row of ``docs``; fp is the fingerprint as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, fp) per row of ``docs``; fp is the fingerprint as a signed long, row the column ``row_col`` (null without)."""
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row")).mapInArrow(_fingerprints, "id long, row long, fp long")
 
 
 def _near(some: np.ndarray, other: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
@@ -83,22 +84,28 @@ def _walk(run: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """
     cuts = (0, 13, 26, 39, 52, 64)
     parts = [(run >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    orders = [np.argsort(p, kind="stable") for p in parts]
-    sorted_parts = [p[o] for p, o in zip(parts, orders, strict=True)]
     left, us, vs = np.ones(len(run), bool), [], []
+    held, rest, orders, sorted_parts = 0, len(run), [], []
     for seed in range(len(run)):
         if not left[seed]:
             continue
-        left[seed] = False
+        left[seed], rest = False, rest - 1
         queue = [seed]
         while queue:
             at = queue.pop()
+            if 2 * rest <= held or not held:
+                # The index covers those not reached yet, and is made anew as they halve.
+                members = np.flatnonzero(left)
+                held = max(1, len(members))
+                orders = [members[np.argsort(p[members], kind="stable")] for p in parts]
+                sorted_parts = [p[o] for p, o in zip(parts, orders, strict=True)]
             for p, o, s in zip(parts, orders, sorted_parts, strict=True):
                 bucket = o[np.searchsorted(s, p[at], "left") : np.searchsorted(s, p[at], "right")]
                 bucket = bucket[left[bucket]]
                 hits = bucket[_near(run[bucket], run[at])]
                 if len(hits):
                     left[hits] = False
+                    rest -= len(hits)
                     queue.extend(hits.tolist())
                     us.append(np.full(len(hits), run[at]))
                     vs.append(run[hits])
@@ -165,22 +172,33 @@ def links(found: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): the smallest id that each document reaches through links and copies."""
-    found = materialise(fingerprints(docs, id_col=id_col, text_col=text_col))
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, fp, component_id, row, component): the smallest id that each document reaches through links and copies.
+
+    ``component`` names the group by a fingerprint, also where no row of it has an id; ``row`` is the
+    column ``row_col``.
+    """
+    found = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, row_col=row_col))
     return named(found, components(links(found)), id_col)
 
 
+#: A component's name is sent to its fingerprints over so many keys.
+SALTS = 16
+
+
 def named(found: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """(id, fp, component_id) of ``found`` (id, fp), given the root of each fp that has links."""
+    """(id, fp, component_id, row, component) of ``found`` (id, row, fp), given the root of each fp that has links."""
     low = found.groupBy("fp").agg(F.min("id").alias("low"))
-    named = low.join(roots, low["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    # Partial minima first: a component of very many fingerprints reaches its task as few rows.
-    tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = materialise(named.join(tops, "root").select("fp", "component_id"))
+    named = materialise(low.join(roots, low["fp"] == roots["node"], "left").select("fp", "low", "root"))
+    # Partial minima first: a component of very many fingerprints reaches its task as few rows. Its
+    # name goes back to them under several keys, so that no task has to read all of them.
+    linked = named.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    tops = linked.groupBy("root").agg(F.min("low").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    alone = named.where("root is null").select("fp", F.col("low").alias("component_id"), F.col("fp").alias("component"))
+    labels = materialise(alone.unionByName(linked.join(tops, ["root", "salt"]).select("fp", "component_id", F.col("root").alias("component"))))
     # A fingerprint that very many copies share is one key of this join; adaptive execution splits
     # such a partition, as the other side has one row for it.
-    return found.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return found.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "row", "component")
 
 
 def digest(docs: DataFrame, **names) -> DataFrame:
@@ -188,16 +206,44 @@ def digest(docs: DataFrame, **names) -> DataFrame:
     return out.select(out.columns[0], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped=groups) -> DataFrame:
-    """The documents, one of each group of ``grouped``: the one with the smallest id, whole and unchanged.
+def row_key(docs: DataFrame) -> Column:
+    """A hash of every column: tells rows apart that share an id, or have none."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that are not in ``lost`` (id, row), by id and ``row_key``."""
+    keyed = docs.withColumn("row_key_", row_key(docs)).alias("d")
+    gone = lost.select(F.col("id").alias("gone_id_"), F.col("row").alias("gone_row_")).distinct()
+    same = (F.col("row_key_") == F.col("gone_row_")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("gone_id_"))
+    return keyed.join(gone, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
+def best_rows(found: DataFrame) -> DataFrame:
+    """(id, row) of every row of ``found`` (id, row, component) but the first of its component, by id (null last) and row."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rest = found.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).join(spread, ["component", "salt"])
+    return rest.where(order != F.col("first")).select("id", "row")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grouped=None) -> DataFrame:
+    """The documents, one of each group of ``grouped``: the row with the smallest id, whole and unchanged.
 
-    Rows of one id that are equal in every column are one document. Rows whose id is null cannot be
-    told apart by it and stay.
+    Rows are told apart by id and all columns, so an id that occurs with several texts loses no text
+    that no other row has. Rows that are equal in every column are one document. A row without an id
+    comes after all that have one.
     """
-    found = grouped(docs, id_col=id_col, text_col=text_col)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
-    twice = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    grouped = grouped or groups
+    keyed = docs.withColumn("row_key_", row_key(docs))
+    found = materialise(grouped(keyed, id_col=id_col, text_col=text_col, row_col="row_key_").select(F.col(id_col).alias("id"), "row", F.col("component").alias("component")))
+    kept = without(docs, best_rows(found), id_col)
+    twice = found.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "row")
     if twice.isEmpty():
         return kept
-    return kept.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(twice, id_col, "left_semi").select(*docs.columns).dropDuplicates())
+    # Rows equal in every column: few of those that are kept, and only these are compared whole.
+    single = without(kept, twice, id_col)
+    key = (F.col("row_key_") == F.col("twice_row_")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("twice_id_"))
+    pairs = kept.withColumn("row_key_", row_key(kept)).alias("d").join(twice.select(F.col("id").alias("twice_id_"), F.col("row").alias("twice_row_")), key, "left_semi")
+    return single.unionByName(pairs.select(*[F.col(f"d.`{c}`") for c in docs.columns]).dropDuplicates())

@@ -23,23 +23,48 @@ def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0), lambda t, x: t + x)
 
 
-def prefix_sums(array: Column) -> Column:
-    """At i the sum of all elements before i; in blocks, so that long arrays cost about n * 64 steps."""
+def _folds(array: Column, fold: Callable[[Column], Column]) -> Column:
+    """At i ``fold`` of all elements before i; in blocks, so that long arrays cost about n * 64 steps."""
 
     def within(starts: Column, values: Column) -> Column:
-        return F.transform(values, lambda _, i: F.get(starts, F.floor(i / _BLOCK).cast("int")) + total(F.slice(values, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))
+        def at(i: Column) -> Column:
+            block = F.floor(i / _BLOCK).cast("int")
+            return fold(F.concat(F.array(F.get(starts, block)), F.slice(values, block * _BLOCK + 1, i % _BLOCK)))
+
+        return F.transform(values, lambda _, i: at(i))
 
     def blocks(values: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
-        return bind(bind(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b)))), lambda starts: within(starts, values))
+        folded = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: fold(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+        return bind(bind(folded, starts), lambda s: within(s, values))
+
+    def starts(folded: Column) -> Column:
+        # The same a level up: blocks of blocks.
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(folded) - 1) / _BLOCK).cast("int")), lambda b: fold(F.slice(folded, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+        def at(tops: Column, i: Column) -> Column:
+            top = F.floor(i / _BLOCK).cast("int")
+            return fold(F.concat(F.slice(tops, F.lit(1), top), F.slice(folded, top * _BLOCK + 1, i % _BLOCK)))
+
+        return bind(tops, lambda t: F.transform(folded, lambda _, i: at(t, i)))
 
     return F.when(F.size(array) > 0, bind(array, blocks)).otherwise(F.array().cast("array<int>"))
 
 
+def prefix_sums(array: Column) -> Column:
+    """At i the sum of all elements before i."""
+    return _folds(array, total)
+
+
+def prefix_maxima(array: Column) -> Column:
+    """At i the largest of all elements before i (none of them negative), 0 at the first."""
+    return _folds(array, lambda a: F.coalesce(F.array_max(a), F.lit(0)))
+
+
 def matches(frame: DataFrame, text: str, name: str, pattern: str, *, guard: str | Column | None = None, group: int = 0) -> DataFrame:
-    """Add ``name``: array<struct<start, end, found, value>> of the leftmost non-overlapping matches.
+    """Add ``name``: array<struct<start, end, found, value, before, after>> of the leftmost non-overlapping matches.
 
-    ``value`` is the capture group ``group``. ``guard`` is a cheaper pattern or condition that any
+    ``value`` is the capture group ``group``; ``before`` the last 40 characters between the match and
+    the one before it, ``after`` the character behind it. ``guard`` is a cheaper pattern or condition that any
     text with a match meets; other texts are not split. The order of the array is by start.
     """
     column = F.col(text)
@@ -56,7 +81,7 @@ def matches(frame: DataFrame, text: str, name: str, pattern: str, *, guard: str
 
     def one(m: Column, i: Column) -> Column:
         start = F.get(F.col(f"{name}_s"), i) + F.get(F.col(f"{name}_b"), i)
-        return F.struct(start.alias("start"), (start + F.get(F.col(f"{name}_a"), i)).alias("end"), m.alias("found"), (F.get(groups, i) if group else m).alias("value"))
+        return F.struct(start.alias("start"), (start + F.get(F.col(f"{name}_a"), i)).alias("end"), m.alias("found"), (F.get(groups, i) if group else m).alias("value"), F.substring(F.get(pieces, i), -40, 40).alias("before"), F.substring(F.concat(F.get(pieces, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), 1, 1).alias("after"))
 
     frame = frame.withColumn(name, F.transform(found, one))
     return frame.drop(*[f"{name}_{x}" for x in "mpgabs"])
@@ -85,8 +110,8 @@ def redact(text: Column, spans: Column, mark: Column) -> Column:
 
     def merge(ordered: Column) -> Column:
         # A span that begins after all earlier ones have ended starts a stretch.
-        ends = F.transform(ordered, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.array_max(F.transform(F.slice(ordered, F.lit(1), i), lambda o: o["end"])), F.lit(0)).alias("before")))
-        return bind(ends, stretches)
+        before = prefix_maxima(F.transform(ordered, lambda s: s["end"]))
+        return bind(F.zip_with(ordered, before, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), b.alias("before"))), stretches)
 
     def stretches(ends: Column) -> Column:
         first = F.filter(ends, lambda s: s["start"] >= s["before"])
