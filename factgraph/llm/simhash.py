@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm.components import components
+from factgraph.llm.rows import id_type, row_key, without
 from factgraph.runtime import materialise
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -69,7 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id, row, fp) per row of ``docs``; fp is the fingerprint as a signed long, row the column ``row_col`` (null without)."""
     row = F.col(row_col) if row_col else F.lit(None).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row")).mapInArrow(_fingerprints, "id long, row long, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row")).mapInArrow(_fingerprints, f"id {id_type(docs, id_col)}, row long, fp long")
 
 
 def _near(some: np.ndarray, other: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
@@ -206,19 +207,6 @@ def digest(docs: DataFrame, **names) -> DataFrame:
     return out.select(out.columns[0], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of every column: tells rows apart that share an id, or have none."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def without(docs: DataFrame, lost: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that are not in ``lost`` (id, row), by id and ``row_key``."""
-    keyed = docs.withColumn("row_key_", row_key(docs)).alias("d")
-    gone = lost.select(F.col("id").alias("gone_id_"), F.col("row").alias("gone_row_")).distinct()
-    same = (F.col("row_key_") == F.col("gone_row_")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("gone_id_"))
-    return keyed.join(gone, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
-
-
 def best_rows(found: DataFrame) -> DataFrame:
     """(id, row) of every row of ``found`` (id, row, component) but the first of its component, by id (null last) and row."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
@@ -243,7 +231,5 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if twice.isEmpty():
         return kept
     # Rows equal in every column: few of those that are kept, and only these are compared whole.
-    single = without(kept, twice, id_col)
-    key = (F.col("row_key_") == F.col("twice_row_")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("twice_id_"))
-    pairs = kept.withColumn("row_key_", row_key(kept)).alias("d").join(twice.select(F.col("id").alias("twice_id_"), F.col("row").alias("twice_row_")), key, "left_semi")
-    return single.unionByName(pairs.select(*[F.col(f"d.`{c}`") for c in docs.columns]).dropDuplicates())
+    again = without(kept, twice, id_col, how="left_semi").dropDuplicates()
+    return without(kept, twice, id_col).unionByName(again)
