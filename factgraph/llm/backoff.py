@@ -10,8 +10,9 @@ about ``block_bytes``; a block sends each partition of the hash space its distin
 counts as one packed row, the partition sums what all blocks sent and answers each with the totals
 in the same order, and the block looks its documents up. That is the join of the count table with
 the exploded n-grams, reduced to the distinct n-grams of a block before anything is shuffled, so a
-word that fills the corpus costs one entry a block. Blocks and partitions both grow with the corpus
-and hold a bounded part of it each.
+word that fills the corpus costs one entry a block. A relational join of one row per n-gram and
+document would shuffle every n-gram of the corpus three times as a row of 16 bytes or more; here an
+entry takes about six. How blocks and partitions grow with the corpus is said at ``layout``.
 
 Words are split at ASCII white space, A-Z lower-cased; n-grams are known by 64-bit hashes.
 
@@ -23,13 +24,18 @@ gives an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER, ALPHA = 2, 0.4
+from factgraph.llm.rows import id_type
+
+ORDER, ALPHA = 3, 0.4
 _SPACE = bytes(c if not 65 <= c <= 90 else c + 32 for c in range(256))
 
 
@@ -88,7 +94,7 @@ def _requests(order: int, parts: int):
     width = (1 << 64) // parts + 1
 
     def run(table: pa.Table) -> pa.Table:
-        found, _ = grams(table.column("text").to_pylist(), order)
+        found, _ = grams(_unpacked(table.column("text")), order)
         keys, counts = _distinct(found)
         # Every partition gets the number of words of the block, so that any of them knows the corpus size.
         cuts = np.searchsorted(keys, [np.uint64(p * width) for p in range(parts)]).tolist() + [len(keys)]
@@ -127,8 +133,8 @@ def _scores(order: int, alpha: float):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["id", "n_words", "n_backoff", "logprob"]
         if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=names)
-        found, owner = grams(docs.column("text").to_pylist(), order)
+            return pa.table([docs.column("id"), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())]], names=names)
+        found, owner = grams(_unpacked(docs.column("text")), order)
         keys, _ = _distinct(found)
         answers = sorted(zip(replies.column("part").to_pylist(), replies.column("n").to_pylist(), replies.column("totals").to_pylist(), replies.column("words").to_pylist(), strict=True))
         totals = np.concatenate([np.zeros(0, np.uint64), *[_unpack(t, n) for _, n, t, _ in answers]]).astype(np.int64)
@@ -156,46 +162,53 @@ def _scores(order: int, alpha: float):
     return run
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, block_bytes: int = 4 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed before they are dealt into blocks."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [pack((t.as_py() or "").encode()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "block", "text"])
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[str]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t.as_py()).decode() for t in column]
+
+
+def layout(size: int, block_bytes: int, part_bytes: int, most_blocks: int = 1 << 14) -> tuple[int, int]:
+    """How many blocks of documents and how many partitions of the hash space a corpus of ``size`` bytes gets.
+
+    Every block sends every partition one row, as every task of a shuffle does. Above ``most_blocks``
+    both grow with the square root of the corpus, so their product, the number of rows, stays in
+    proportion to it; what a task holds then grows with the square root too.
+    """
+    blocks, parts = size // block_bytes + 1, size // part_bytes + 1
+    if blocks > most_blocks:
+        share = math.sqrt(most_blocks / blocks)
+        blocks, parts = math.ceil(blocks * share), math.ceil(parts * share)
+    return blocks, parts
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, block_bytes: int = 8 << 20, part_bytes: int = 16 << 20) -> DataFrame:
     """Per row: the id, ``n_words``, ``n_backoff`` (words whose longest n-gram occurs nowhere else), ``logprob`` and its mean."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks, parts = size // block_bytes + 1, size // part_bytes + 1
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    blocks, parts = layout(size, block_bytes, part_bytes)
+    kind = id_type(docs, id_col)
     # Blocks have about block_bytes each; very long texts make a block longer by one text at most.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(blocks)))
+    block = F.pmod(F.xxhash64(id_col, F.octet_length(text_col), F.substring(text_col, 1, 64)), F.lit(blocks))
+    rows = docs.select(F.col(id_col).alias("id"), block.alias("block"), F.col(text_col).alias("text")).mapInArrow(_packed, f"id {kind}, block long, text binary")
     asked = rows.groupBy("block").applyInArrow(_requests(order, parts), "part long, block long, n long, words long, grams binary, counts binary")
     told = asked.groupBy("part").applyInArrow(_replies, "part long, block long, n long, words long, totals binary")
-    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(order, alpha), "id long, n_words long, n_backoff long, logprob double")
+    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(order, alpha), f"id {kind}, n_words long, n_backoff long, logprob double")
     return out.select(F.col("id").alias(id_col), "n_words", "n_backoff", F.round("logprob", 6).alias("logprob"), F.round(F.when(F.col("n_words") > 0, F.col("logprob") / F.col("n_words")), 6).alias("mean_logprob"))
 
 
+#: Words that no trigram reaches, at the start of a text, back off from bigrams.
 ORACLE_SQL = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), p AS (
-  SELECT doc_id, i, w[i] AS u, CASE WHEN i > 1 THEN w[i - 1] END AS c FROM d, unnest(range(1, len(w) + 1)) AS r(i)
-), n AS (SELECT count(*) AS n FROM p),
-l AS (SELECT doc_id, len(w) AS len FROM d),
-u AS (SELECT u, count(*) AS t FROM p GROUP BY u), ud AS (SELECT doc_id, u, count(*) AS t FROM p GROUP BY ALL),
-b AS (SELECT c, u, count(*) AS t FROM p WHERE c IS NOT NULL GROUP BY ALL), bd AS (SELECT doc_id, c, u, count(*) AS t FROM p WHERE c IS NOT NULL GROUP BY ALL),
-x AS (
-  SELECT p.doc_id, p.i, p.c IS NOT NULL AS possible, u.t - ud.t AS uni, coalesce(b.t - bd.t, 0) AS bi, coalesce(uc.t - ucd.t, 0) AS ctx, n.n - l.len AS rest
-  FROM p JOIN u ON p.u = u.u JOIN ud ON p.doc_id = ud.doc_id AND p.u = ud.u
-  LEFT JOIN b ON p.c = b.c AND p.u = b.u LEFT JOIN bd ON p.doc_id = bd.doc_id AND p.c = bd.c AND p.u = bd.u
-  LEFT JOIN u AS uc ON p.c = uc.u LEFT JOIN ud AS ucd ON p.doc_id = ucd.doc_id AND p.c = ucd.u
-  JOIN l ON p.doc_id = l.doc_id, n
-), s AS (
-  SELECT doc_id, count(*) AS n_words, sum((possible AND bi = 0)::BIGINT)::BIGINT AS n_backoff,
-         sum(ln(CASE WHEN bi > 0 THEN bi::DOUBLE / ctx ELSE (CASE WHEN possible THEN 0.4::DOUBLE ELSE 1 END) * (CASE WHEN uni > 0 THEN uni::DOUBLE ELSE 0.5 END) / greatest(rest, 1) END)) AS lp
-  FROM x GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff,
-       round(coalesce(lp, 0), 6) AS logprob, round(lp / n_words, 6) AS mean_logprob
-FROM d LEFT JOIN s ON d.doc_id = s.doc_id
-"""
-
-#: The same for trigrams: words that no trigram reaches, at the start of a text, back off from bigrams.
-TRIGRAM_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), p AS (
