@@ -10,6 +10,9 @@ Repeated records are counted before anything is shuffled, and a page id that ver
 records share fans out over their hashes, so no node ever gathers more than 65,536 children. Texts
 are hashed where they are read: only hashes move.
 
+Every level of both trees is written once, from the level below. The descent reads of each level the
+children of open nodes only; what it keeps per level is in proportion to the faults.
+
 Defined results: nulls in url or html count as empty; pages with a null id share the key ``null``;
 repeated records count with their multiplicity; two empty replicas have equal roots and no faults;
 only the id, url and html columns are read.
@@ -22,7 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.runtime import materialise
+from factgraph.llm.spans import prefix_sums
+from factgraph.runtime import drop_materialised, materialise
 
 #: Lengths of the key prefixes that are nodes, from the leaves to the root.
 LEVELS = (20, 16, 14, 12, 10, 8, 4, 0)
@@ -49,39 +53,50 @@ def _fold(children: DataFrame, length: int) -> DataFrame:
 
 
 def tree(replica: DataFrame, levels: tuple[int, ...] = LEVELS) -> list[DataFrame]:
-    """The tables of nodes, leaves first, root last; the leaves are written to the shared folder."""
+    """The tables of nodes, leaves first, root last, each in the shared folder and made from the one below."""
     items = replica.select(F.concat("key", "sha256").alias("node"), F.concat_ws("*", "sha256", F.col("n").cast("string")).alias("hash"), (F.col("n_bytes") * F.col("n")).alias("n_bytes"), "n")
-    out = [materialise(_fold(items, levels[0]))]
-    for length in levels[1:]:
-        out.append(_fold(out[-1], length))
+    out = []
+    for length in levels:
+        out.append(materialise(_fold(out[-1] if out else items, length)))
     return out
 
 
 def descend(one: list[DataFrame], two: list[DataFrame], levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """The leaves that differ, with their byte offset in replica one; only differing branches are read on.
+    """The leaves that differ, with their byte offset in replica one.
 
-    A child's offset is its parent's plus the bytes of the siblings before it, so a parent's children
-    (at most 65,536) suffice to find it.
+    From each level only the children of nodes that differ are taken, on both sides, before they are
+    compared. A child's offset is its parent's plus the bytes of the siblings before it, so a
+    parent's children (at most 65,536) suffice to find it.
     """
-
-    def pair(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.select("node", F.col("hash").alias("ha"), F.col("n_bytes").alias("ba")).join(b.select("node", F.col("hash").alias("hb")), "node", "full_outer")
-
-    open_ = pair(one[-1], two[-1]).where(~F.col("ha").eqNullSafe(F.col("hb"))).select(F.col("node").alias("parent"), F.lit(0).cast("long").alias("base"))
-    for depth in range(len(levels) - 2, -1, -1):
-        parent = F.substring("node", 1, levels[depth + 1])
-        both = pair(one[depth], two[depth]).withColumn("parent", parent).join(open_, "parent")
-        kids = F.array_sort(F.collect_list(F.struct("node", "ha", "hb", F.coalesce("ba", F.lit(0)).alias("ba"))))
-        family = both.groupBy("parent", "base").agg(kids.alias("kids")).select("base", "kids", F.posexplode("kids").alias("at", "kid"))
-        before = F.aggregate(F.slice("kids", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda t, k: t + k["ba"])
-        open_ = family.where(~F.col("kid.ha").eqNullSafe(F.col("kid.hb"))).select(F.col("kid.node").alias("parent"), (F.col("base") + before).alias("base"))
+    spark = one[-1].sparkSession
+    # The root's parent is a node that is always open.
+    open_ = spark.range(1).select(F.lit("").alias("parent"), F.lit(0).cast("long").alias("base"))
+    for depth in range(len(levels) - 1, -1, -1):
+        length = levels[depth + 1] if depth + 1 < len(levels) else 0
+
+        def side(nodes: DataFrame, length: int = length, open_: DataFrame = open_) -> DataFrame:
+            return nodes.withColumn("parent", F.substring("node", 1, length)).join(open_, "parent")
+
+        a = side(one[depth]).select("parent", "base", "node", F.col("hash").alias("ha"), F.lit(None).cast("string").alias("hb"), F.col("n_bytes").alias("ba"))
+        b = side(two[depth]).select("parent", "base", "node", F.lit(None).cast("string").alias("ha"), F.col("hash").alias("hb"), F.lit(0).cast("long").alias("ba"))
+        pairs = a.unionByName(b).groupBy("parent", "base", "node").agg(F.max("ha").alias("ha"), F.max("hb").alias("hb"), F.max("ba").alias("ba"))
+        kids = F.array_sort(F.collect_list(F.struct("node", "ha", "hb", "ba")))
+        family = pairs.groupBy("parent", "base").agg(kids.alias("kids")).where(F.exists("kids", lambda k: ~k["ha"].eqNullSafe(k["hb"])))
+        before = prefix_sums(F.transform("kids", lambda k: k["ba"]))
+        family = family.select("base", F.explode(F.arrays_zip("kids", before.alias("before"))).alias("kid"))
+        open_ = family.where(~F.col("kid.kids.ha").eqNullSafe(F.col("kid.kids.hb"))).select(F.col("kid.kids.node").alias("parent"), (F.col("base") + F.col("kid.before")).alias("base"))
+        open_ = materialise(open_)
+        if open_.isEmpty():
+            break
     return open_.select(F.col("parent").alias("node"), F.col("base").alias("byte_offset"))
 
 
 def audit(one: DataFrame, two: DataFrame, **columns) -> DataFrame:
     """The records on which two replicas differ: id, hash, copies in each, and where its range begins in the first."""
     a, b = (materialise(records(x, **columns)) for x in (one, two))
-    bad = descend(tree(a), tree(b))
+    trees = tree(a), tree(b)
+    bad = descend(*trees)
+    drop_materialised(a.sparkSession, *trees[0], *trees[1])
     leaf = F.substring(F.concat("key", "sha256"), 1, LEVELS[0])
     sides = [x.select("id", "key", "sha256", "n_bytes", F.col("n").alias(name)).withColumn("node", leaf).join(bad, "node", "left_semi").drop("node") for x, name in ((a, "n_one"), (b, "n_two"))]
     faults = reduce(lambda x, y: x.join(y, ["key", "sha256", "n_bytes"], "full_outer"), [sides[0].withColumnRenamed("id", "ia"), sides[1].withColumnRenamed("id", "ib")])

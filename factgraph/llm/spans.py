@@ -20,7 +20,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0), lambda t, x: t + x)
+    return F.aggregate(array, F.lit(0).cast("long"), lambda t, x: t + x)
 
 
 def _folds(array: Column, fold: Callable[[Column], Column]) -> Column:
@@ -47,11 +47,11 @@ def _folds(array: Column, fold: Callable[[Column], Column]) -> Column:
 
         return bind(tops, lambda t: F.transform(folded, lambda _, i: at(t, i)))
 
-    return F.when(F.size(array) > 0, bind(array, blocks)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(array) > 0, bind(array, blocks)).otherwise(F.slice(array, F.lit(1), F.lit(0)))
 
 
 def prefix_sums(array: Column) -> Column:
-    """At i the sum of all elements before i."""
+    """At i the sum of all elements, longs, before i."""
     return _folds(array, total)
 
 
@@ -77,10 +77,10 @@ def matches(frame: DataFrame, text: str, name: str, pattern: str, *, guard: str
     })
     found, pieces, groups = F.col(f"{name}_m"), F.col(f"{name}_p"), F.col(f"{name}_g")
     frame = frame.withColumns({f"{name}_a": F.transform(found, lambda m: F.length(m)), f"{name}_b": F.transform(F.slice(pieces, F.lit(1), F.size(found)), lambda p: F.length(p))})
-    frame = frame.withColumn(f"{name}_s", prefix_sums(F.zip_with(f"{name}_a", f"{name}_b", lambda a, b: a + b)))
+    frame = frame.withColumn(f"{name}_s", prefix_sums(F.zip_with(f"{name}_a", f"{name}_b", lambda a, b: (a + b).cast("long"))))
 
     def one(m: Column, i: Column) -> Column:
-        start = F.get(F.col(f"{name}_s"), i) + F.get(F.col(f"{name}_b"), i)
+        start = F.get(F.col(f"{name}_s"), i).cast("int") + F.get(F.col(f"{name}_b"), i)
         return F.struct(start.alias("start"), (start + F.get(F.col(f"{name}_a"), i)).alias("end"), m.alias("found"), (F.get(groups, i) if group else m).alias("value"), F.substring(F.get(pieces, i), -40, 40).alias("before"), F.substring(F.concat(F.get(pieces, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), 1, 1).alias("after"))
 
     frame = frame.withColumn(name, F.transform(found, one))
@@ -110,7 +110,7 @@ def redact(text: Column, spans: Column, mark: Column) -> Column:
 
     def merge(ordered: Column) -> Column:
         # A span that begins after all earlier ones have ended starts a stretch.
-        before = prefix_maxima(F.transform(ordered, lambda s: s["end"]))
+        before = prefix_maxima(F.transform(ordered, lambda s: s["end"].cast("int")))
         return bind(F.zip_with(ordered, before, lambda s, b: F.struct(s["start"].alias("start"), s["end"].alias("end"), b.alias("before"))), stretches)
 
     def stretches(ends: Column) -> Column:
