@@ -1,42 +1,49 @@
 """Language identification with a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a word's UTF-8 bytes in both directions (state starts anew at white space, and
-after ``max_bytes`` bytes of one word) and labels every byte position; a document's probabilities
-are the mean over all positions of the whole text. It is trained by backpropagation through time on
-a bounded sample: words drawn from all of the text of ``docs_per_language`` documents of each
-language, ``words_per_doc`` each. Since a word's positions depend on that word only, each worker
-computes a distinct word once and keeps a bounded memo; the result is the same without it.
+The network reads a text's UTF-8 bytes (A-Z lower-cased) in both directions and labels every byte
+position, blanks, digits and signs included; a document's probabilities are the mean over all
+positions of the whole text. A text is read in stretches of ``STRETCH`` bytes. The state of either
+direction starts ``MARGIN`` bytes outside of its stretch, so that each position has at least so much
+of the text on both sides; beyond the ends of the text stand zero bytes. It is trained by
+backpropagation through time on a bounded sample: ``stretches_per_doc`` places drawn from all of the
+text of ``docs_per_language`` documents of each language, those with the smallest hash of their id.
+
+Gates use softsign in the place of tanh and the logistic function.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without training
-rows every text is ``und``; repeated rows are predicted alike, each; an empty table gives an empty
-result; only the id, text and lang columns are read. Texts and words may have any length.
+rows every text is ``und``; more than ``max_languages`` languages are an error, none is left out;
+repeated rows are predicted alike, each; an empty table gives an empty result; only the id, text and
+lang columns are read. Texts may have any length and script, with or without blanks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.llm.rows import id_type
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
-MAX_BYTES = 32
+STRETCH, MARGIN = 64, 8
+WIDTH = STRETCH + 2 * MARGIN
 
 
-#: ASCII letters in lower case; every other ASCII byte parts words. Bytes of other letters stay.
-_TABLE = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
+def bytes_of(text: str) -> bytes:
+    return text.encode().lower()
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text as bytes."""
-    return text.encode().translate(_TABLE).split()
+def stretches(data: bytes) -> np.ndarray:
+    """One row of ``WIDTH`` bytes per stretch; the positions between the margins are the text's, once each."""
+    n = -(-len(data) // STRETCH)
+    whole = np.frombuffer(bytes(MARGIN) + data + bytes(n * STRETCH - len(data) + MARGIN), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(whole, WIDTH)[::STRETCH]
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -102,16 +109,18 @@ class Network:
             states.append(h)
         return states if d == "f" else states[::-1]
 
-    def position_sums(self, x: np.ndarray) -> np.ndarray:
-        """Label probabilities (n, languages) summed over all positions of words of one length."""
+    def position_sums(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Label probabilities (n, languages) of stretches, summed over the first ``sizes`` positions between the margins."""
         of, ob, bias = self.params["of"].T, self.params["ob"].T, self.params["bias"][:, None]
         total = np.zeros((len(bias), len(x)), np.float32)
-        for f, b in zip(self._states(x, "f"), self._states(x, "b"), strict=True):
-            logits = of @ f + ob @ b + bias
+        forward, backward = self._states(x[:, : MARGIN + STRETCH], "f"), self._states(x[:, MARGIN:], "b")
+        most = int(sizes.max()) if len(sizes) else 0
+        for t in range(most):
+            logits = of @ forward[MARGIN + t] + ob @ backward[t] + bias
             logits -= logits.max(axis=0)
             np.exp(logits, out=logits)
             logits /= logits.sum(axis=0)
-            total += logits
+            total += logits if t < STRETCH and (sizes > t).all() else logits * (sizes > t)
         return total.T
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -149,31 +158,18 @@ class Network:
         return loss / x.size, grads
 
 
-def by_length(words: list[bytes], block: int = 1024) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Indices and byte matrices of words of one length each."""
-    lengths = defaultdict(list)
-    for i, w in enumerate(words):
-        lengths[len(w)].append(i)
-    for n, found in sorted(x for x in lengths.items() if x[0]):
-        for at in range(0, len(found), block):
-            part = found[at : at + block]
-            yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), n)
-
-
-def train(words: list[bytes], labels: list[int], languages: list[str], *, hidden: int = 8, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 0) -> Network:
-    """Adam on words grouped by length; deterministic for given rows."""
-    net, rng, y = Network.fresh(languages, hidden, seed), np.random.default_rng(seed), np.array(labels)
+def train(x: np.ndarray, labels: np.ndarray, languages: list[str], *, hidden: int = 8, epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 0) -> Network:
+    """Adam on rows of bytes, all positions labelled; deterministic for given rows."""
+    net, rng = Network.fresh(languages, hidden, seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.params.items()}
     second = {k: np.zeros_like(v) for k, v in net.params.items()}
     step = 0
     for epoch in range(epochs):
-        order = rng.permutation(len(words)).tolist()
-        blocks = list(by_length([words[i] for i in order], batch))
-        rng.shuffle(blocks)
-        for found, x in blocks:
+        order, speed = rng.permutation(len(x)), rate * 0.5**epoch
+        for at in range(0, len(x), batch):
             step += 1
-            _, grads = net.gradients(x, y[[order[i] for i in found]])
-            speed = rate * 0.4**epoch
+            some = order[at : at + batch]
+            _, grads = net.gradients(x[some], labels[some])
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
@@ -181,117 +177,90 @@ def train(words: list[bytes], labels: list[int], languages: list[str], *, hidden
     return net
 
 
-class Reader:
-    """Pools documents. Sums of position probabilities are kept for the first ``memo`` distinct words,
-    which frequent words are soon among; the others are computed once per block of texts."""
-
-    BLOCK = 1 << 24
-
-    def __init__(self, net: Network, memo: int = 400_000):
-        self.net, self.memo = net, memo
-        self.index: dict[bytes, int] = {}
-        self.sums = np.zeros((memo, len(net.languages)), np.float32)
-
-    def _sums(self, words: list[bytes]) -> np.ndarray:
-        sums = np.zeros((len(words), len(self.net.languages)), np.float32)
-        cut = [(i, w[a : a + MAX_BYTES]) for i, w in enumerate(words) if len(w) > MAX_BYTES for a in range(0, len(w), MAX_BYTES)]
-        for found, x in by_length([w if len(w) <= MAX_BYTES else b"" for w in words]):
-            sums[found] = self.net.position_sums(x)
-        for found, x in by_length([w for _, w in cut]):
-            np.add.at(sums, [cut[k][0] for k in found], self.net.position_sums(x))
-        return sums
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """The sums of position probabilities of distinct words."""
-        at = list(map(self.index.get, words))
-        gaps = [i for i, k in enumerate(at) if k is None]
-        out = self.sums[[k or 0 for k in at]]
-        if gaps:
-            new = [words[i] for i in gaps]
-            out[gaps] = sums = self._sums(new)
-            base = len(self.index)
-            room = min(len(new), self.memo - base)
-            self.index.update(zip(new[:room], range(base, base + room), strict=True))
-            self.sums[base : base + room] = sums[:room]
-        return out
-
-    def _pool(self, lines: list[bytes]) -> np.ndarray:
-        """Mean probabilities over all byte positions of each line of words."""
-        split = pc.ascii_split_whitespace(pa.array(lines, pa.large_binary()).cast(pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        found = self.rows(coded.dictionary.cast(pa.large_binary()).to_pylist())
-        sizes = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.float64)
-        at, codes = split.value_parent_indices().to_numpy(), coded.indices.to_numpy(zero_copy_only=False)
-        totals = [np.bincount(at, found[:, k].astype(np.float64)[codes], len(lines)) for k in range(found.shape[1])]
-        return np.stack(totals, axis=1) / np.maximum(np.bincount(at, sizes[codes], len(lines)), 1)[:, None]
-
-    def many(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        rows: list[int] = []
-        lines: list[bytes] = []
-        held = 0
-
-        def flush() -> None:
-            if rows:
-                pooled = self._pool(lines)
-                for i, k, p in zip(rows, pooled.argmax(axis=1).tolist(), pooled.max(axis=1).tolist(), strict=True):
-                    langs[i], scores[i] = self.net.languages[k], min(1.0, p)
-                rows.clear()
-                lines.clear()
-
-        for i, text in enumerate(texts):
-            if text and LETTER.search(text):
-                rows.append(i)
-                lines.append(text.encode().translate(_TABLE))
-                held += len(lines[-1])
-                if held > self.BLOCK:
-                    flush()
-                    held = 0
+def pool(net: Network, texts: list[str | None], block: int = 4096) -> tuple[list[str], list[float]]:
+    """The most probable language of each text, by the mean over all byte positions, ``block`` stretches at a time."""
+    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    sums = np.zeros((len(texts), len(net.languages)))
+    rows, owners, sizes, held = [], [], [], 0
+
+    def flush() -> None:
+        x, owner, size = np.concatenate(rows), np.concatenate(owners), np.concatenate(sizes)
+        for at in range(0, len(x), block):
+            some = slice(at, at + block)
+            np.add.at(sums, owner[some], net.position_sums(x[some], size[some]))
+        rows.clear()
+        owners.clear()
+        sizes.clear()
+
+    for i in known:
+        data = bytes_of(texts[i])
+        found = stretches(data)
+        rows.append(found)
+        owners.append(np.full(len(found), i))
+        sizes.append(np.minimum(STRETCH, len(data) - STRETCH * np.arange(len(found))))
+        held += len(found)
+        if held >= 4 * block:
+            flush()
+            held = 0
+    if rows:
         flush()
-        return langs, scores
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    for i in known:
+        langs[i], scores[i] = net.languages[int(sums[i].argmax())], min(1.0, float(sums[i].max() / max(sums[i].sum(), 1e-9)))
+    return langs, scores
+
 
+def _draw(stretches_per_doc: int):
+    """Some places of each text, drawn by the document's key."""
 
-def _draw(words_per_doc: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drawn = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = [w[:MAX_BYTES] for w in words_of(text or "")]
+                data = bytes_of(text or "")
                 rng = np.random.default_rng(key)
-                drawn.append([words[i] for i in sorted(rng.choice(len(words), min(words_per_doc, len(words)), replace=False).tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.binary()))], names=["key", "lang", "words"])
+                starts = rng.integers(0, max(1, len(data) - WIDTH + 1), stretches_per_doc if len(data) > WIDTH else 1)
+                drawn.append([data[a : a + WIDTH].ljust(WIDTH, b"\0") for a in sorted(set(starts.tolist()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.binary()))], names=["key", "lang", "places"])
 
     return run
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, words_per_doc: int = 60, max_languages: int = 200, **options) -> Network | None:
-    """Train on a bounded sample of the documents that have a language and a letter; None without any."""
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, stretches_per_doc: int = 8, max_languages: int = 200, **options) -> Network | None:
+    """Train on a bounded sample of the documents that have a language and a letter; None without any.
+
+    One pass finds the sample: every task keeps its first ``docs_per_language`` of each language before
+    anything is shuffled. A second reads the texts.
+    """
     usable = docs.select(F.col(id_col).alias("id_"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r["lang"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
     key = F.coalesce(F.crc32(F.col("id_").cast("string")), F.lit(0))
-    sample = []
-    for lang in languages:
-        chosen = usable.where(F.col("lang") == lang).select(key.alias("key"), "id_", "lang").distinct().orderBy("key", "id_").limit(docs_per_language)
-        # The broadcast side has docs_per_language rows at most.
-        rows = usable.where(F.col("lang") == lang).join(F.broadcast(chosen.select("id_", "key")), "id_").select("key", "lang", "text").mapInArrow(_draw(words_per_doc), "key long, lang string, words array<binary>").collect()
-        rows = sorted((r["key"], [bytes(w) for w in r["words"]]) for r in rows)
-        sample += [(w, languages.index(lang)) for _, words in rows for w in words]
-    if not sample:
+    ranked = usable.select("id_", "lang", key.alias("key")).withColumn("rank_", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id_")))
+    chosen = ranked.where(F.col("rank_") <= docs_per_language).select("id_", "lang", "key").distinct().limit(docs_per_language * max_languages + 1).collect()
+    languages = sorted({r["lang"] for r in chosen})
+    if len(languages) > max_languages or len(chosen) > docs_per_language * max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not chosen:
         return None
-    return train([w for w, _ in sample], [y for _, y in sample], languages, **options)
+    # The broadcast side has docs_per_language rows a language at most.
+    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id_ {id_type(docs, id_col)}, lang string, key long"))
+    same = usable["id_"].eqNullSafe(ids["id_"]) & (usable["lang"] == ids["lang"])
+    rows = usable.join(ids, same).select("key", usable["lang"], "text").mapInArrow(_draw(stretches_per_doc), "key long, lang string, places array<binary>").collect()
+    rows = sorted((r["lang"], r["key"], [bytes(p) for p in r["places"]]) for r in rows)
+    places = [(p, languages.index(lang)) for lang, _, found in rows for p in found]
+    x = np.frombuffer(b"".join(p for p, _ in places), np.uint8).reshape(len(places), WIDTH)
+    return train(x, np.array([y for _, y in places]), languages, **options)
 
 
 def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``lang_pred`` and ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net is not None else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            langs, scores = reader.many(texts) if reader else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+            langs, scores = pool(net, texts) if net else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type(docs, id_col)}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
