@@ -5,13 +5,17 @@ spans. Every token of 16 or more encoding characters gets an inferred encoding (
 alphanumeric, base64) and
 
 * a likelihood ratio of "uniform over that encoding" against the corpus's own character
-  distribution over such tokens, an e-value that grows with the length of the token;
-* a battery that must not reject uniformity: chi-squared over the alphabet, Wald-Wolfowitz runs
-  about the middle symbol and lag-one serial correlation, Bonferroni-combined at ``alpha``.
-
-Discoveries follow the e-BH rule at ``fdr`` over all tokens of the corpus (Wang and Ramdas 2022),
-which holds under any dependence between tokens. Character counts (66 rows) and the histogram of
-log e-values (at most 6001 rows) are the only things that reach the driver. Everything else is
+  distribution over such tokens, which grows with the length of the token;
+* a battery of tests of uniformity: chi-squared over the alphabet, Wald-Wolfowitz runs about the
+  middle symbol and lag-one serial correlation, Bonferroni-combined to one p-value.
+
+The evidence for a token is the ratio times min(1, p / ``alpha``): what fails the battery loses its
+evidence in proportion, and as the product never exceeds the ratio it is an e-value still. It is
+weighted by the token's length over the mean length, so weights average 1 and a short token needs
+more. Discoveries follow the weighted e-BH rule at ``fdr`` over all tokens of the corpus (Wang and
+Ramdas 2022), which holds under any dependence between tokens; a second round takes the character
+distribution from the tokens that the first did not discover. Character counts (66 rows), the mean
+length and the histogram of log evidence (at most 6001 rows) are all that reaches the driver. Everything else is
 row-local: no shuffle of texts, no Python on the executors. Distinct tokens with their counts go to
 the shared folder.
 
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm import spans as S
-from factgraph.runtime import materialise
+from factgraph.runtime import drop_materialised, materialise
 
 #: The lookahead and lookbehinds change no match: they only spare positions where none can begin.
 ASSIGN = r"""(?=[pPsStTaA][aAeEoOpP])(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -136,11 +140,23 @@ def uniformity(token: Column) -> Column:
     return S.bind(S.bind(alphabet, parts), battery)
 
 
-def discovery_threshold(tokens: DataFrame, model: list[float], *, fdr: float = 0.01) -> float:
-    """The log e-value from which e-BH rejects, over every token of the corpus."""
+def mean_length(tokens: DataFrame) -> float:
+    """The mean length of a token of the corpus, 1 at least."""
+    return float(tokens.agg(F.sum(F.col("n") * F.length("t")) / F.sum("n")).first()[0] or 1.0)
+
+
+def evidence(token: Column, model: list[float], mean: float, alpha: float, least: float) -> Column:
+    """Log of the weighted e-value of a token; the battery is run only if that can be ``least`` or more."""
+    most = log_e(token, model) + F.log(F.length(token) / F.lit(mean))
+    penalty = F.least(F.lit(0.0), F.log(F.greatest(uniformity(token), F.lit(1e-300))) - F.lit(math.log(alpha)))
+    return S.bind(most, lambda m: F.when(m >= least, m + penalty).otherwise(m))
+
+
+def discovery_threshold(tokens: DataFrame, model: list[float], mean: float, *, fdr: float = 0.01, alpha: float = 0.001) -> float:
+    """The log evidence from which weighted e-BH rejects, over every token of the corpus."""
     floor = math.log(1 / fdr)
     bins = F.when(F.col("e") >= floor, F.floor(F.least(F.col("e"), F.lit(LOG_E_TOP)) / LOG_E_BIN).cast("int"))
-    found = tokens.select(log_e(F.col("t"), model).alias("e"), "n").groupBy(bins.alias("bin")).agg(F.sum("n").alias("n")).collect()
+    found = tokens.select(evidence(F.col("t"), model, mean, alpha, floor).alias("e"), "n").groupBy(bins.alias("bin")).agg(F.sum("n").alias("n")).collect()
     tested, rejected = sum(r["n"] for r in found), 0
     best = math.inf
     for bin_, n in sorted(((r["bin"], r["n"]) for r in found if r["bin"] is not None), reverse=True):
@@ -157,7 +173,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr
     """
     counted = corpus_tokens(docs, text_col=text_col)
     model = character_model(counted)
-    threshold = discovery_threshold(counted, model, fdr=fdr)
+    mean = mean_length(counted)
+    threshold = discovery_threshold(counted, model, mean, fdr=fdr, alpha=alpha)
+    if not math.isinf(threshold):
+        # What was found is no ordinary token: the rest gives the distribution that the final evidence is held against.
+        model = character_model(counted.where(evidence(F.col("t"), model, mean, alpha, threshold) < threshold))
+        threshold = discovery_threshold(counted, model, mean, fdr=fdr, alpha=alpha)
+    drop_materialised(docs.sparkSession, counted)
     frame = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("keep_"))
     frame = base_spans(frame)
     frame = frame.withColumn("base", F.concat(*[S.label(F.col(k), k, i) for i, k in enumerate(KINDS[:3])]))
@@ -165,11 +187,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr
         frame = frame.withColumn("more", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int>>"))
     else:
         tokens = F.regexp_extract_all(F.col("text_"), F.lit(TOKEN), F.lit(0))
-        likely = F.exists(tokens, lambda t: (log_e(t, model) >= threshold) & (uniformity(t) >= alpha))
-        frame = S.matches(frame.withColumn("likely_", likely), "text_", "token", TOKEN, guard=F.col("likely_"))
-        token = F.filter("token", lambda t: (log_e(t["found"], model) >= threshold) & ~S.overlaps(t, F.col("base")))
-        frame = frame.withColumn("token", token)
-        frame = frame.withColumn("more", S.label(F.filter("token", lambda t: uniformity(t["found"]) >= alpha), "random", 3))
+        random = lambda t: evidence(t, model, mean, alpha, threshold) >= threshold
+        frame = S.matches(frame.withColumn("likely_", F.exists(tokens, random)), "text_", "token", TOKEN, guard=F.col("likely_"))
+        token = F.filter("token", lambda t: random(t["found"]) & ~S.overlaps(t, F.col("base")))
+        frame = frame.withColumn("more", S.label(token, "random", 3))
     frame = frame.withColumn("base", S.by_start(F.col("base")))
     return frame.select(
         F.col("id_").alias(id_col), "text_", "keep_", "base", S.by_start(F.concat("base", "more")).alias("all"),
