@@ -11,8 +11,8 @@ sample count once. Phrases that hold an entry but occur in clean texts only are
 the listed ones; a hit inside an exception does not count. A text's score is a logistic function of
 its weight and of its weight per thousand words, fitted on the same sample.
 
-Scoring is row-local in Arrow batches; each text is taken whole. The lexicon is bounded by
-``max_entries``.
+Scoring is row-local in Arrow batches; each text is taken whole. All that is collected to learn from
+comes from the bounded sample; of the entries the ``max_entries`` heaviest are the lexicon.
 
 Defined results: a null or empty text has no hits and gets the score of a clean text; without
 labelled rows of both classes the lexicon is empty and all scores are 0; repeated rows are scored
@@ -24,15 +24,19 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.llm.rows import id_type
+
 # Look-alike letters and digit substitutions, and what they stand for.
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁԛԝѵαεικνορτυχɡıℓ", "aeopcyxijshdqwvaeiknoptuxgil", strict=True))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
@@ -82,15 +86,20 @@ def hits(folded: str, automaton) -> list[tuple[int, int, float]]:
     """(start, end, weight) of the entries in a folded text that no exception phrase covers; at each start the heaviest counts."""
     if not len(automaton):
         return []
-    found, covered = {}, []
+    found, reach = {}, {}
     for end, (size, weight) in automaton.iter(folded):
         start = end - size + 1
         if weight:
             if weight > found.get(start, (0, 0.0))[1]:
                 found[start] = (end + 1, weight)
         else:
-            covered.append((start, end + 1))
-    return [(s, e, w) for s, (e, w) in found.items() if not any(a <= s < b - 1 for a, b in covered)]
+            reach[start] = max(reach.get(start, 0), end)
+    if not reach:
+        return [(s, e, w) for s, (e, w) in found.items()]
+    # How far the exceptions that begin at or before each place reach; their last character is a blank.
+    starts = sorted(reach)
+    ends = list(accumulate((reach[s] for s in starts), max))
+    return [(s, e, w) for s, (e, w) in found.items() if not (k := bisect_right(starts, s)) or s >= ends[k - 1]]
 
 
 def weigh(text: str | None, automaton) -> tuple[float, int, int]:
@@ -143,7 +152,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     ids = usable.where("toxic = 1").orderBy(*rank).limit(sample_toxic).unionByName(usable.where("toxic = 0").orderBy(*rank).limit(sample_clean))
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text"))
     # The broadcast side has sample_toxic + sample_clean rows at most.
-    return texts.join(F.broadcast(ids), "id_").select("toxic", "text").mapInArrow(_sketches, "toxic int, text string, a long, b long, c long").dropDuplicates(["toxic", "a"]).dropDuplicates(["toxic", "b"]).dropDuplicates(["toxic", "c"]).select("toxic", "text")
+    rows = texts.join(F.broadcast(ids), "id_").select("toxic", "text").mapInArrow(_sketches, "toxic int, text string, a long, b long, c long")
+    # Of texts that share a sketch the smallest stays, whatever the order in which they come.
+    for sketch in "abc":
+        rows = rows.groupBy("toxic", F.col(sketch).alias("same")).agg(F.min(F.struct("text", "a", "b", "c")).alias("r")).select("toxic", "r.*")
+    return rows.select("toxic", "text")
 
 
 def learn_lexicon(sample: DataFrame, *, significance: float = 25.0, purity: float = 0.95, max_entries: int = 2000) -> dict[str, float]:
@@ -158,15 +171,17 @@ def learn_lexicon(sample: DataFrame, *, significance: float = 25.0, purity: floa
     gain = 2 * (F.col("t") * F.log(share / F.lit(rate)) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / F.lit(1 - rate))).otherwise(0.0))
     # Balanced for class sizes, so that purity means the same at any ratio of labels.
     pure = (F.col("t") / F.lit(toxic)) / (F.col("t") / F.lit(toxic) + F.col("c") / F.lit(clean))
-    rows = counts.where((F.col("t") >= 4) & (share > rate) & (pure >= purity)).where(gain >= significance).orderBy(F.desc(gain), "term").limit(20 * max_entries).collect()
+    rows = counts.where((F.col("t") >= 4) & (share > rate) & (pure >= purity)).where(gain >= significance).collect()
     found = {r["term"]: r["t"] for r in rows}
     odds = {r["term"]: math.log((r["t"] + 0.5) / (toxic + 1) * (clean + 1) / (r["c"] + 0.5)) for r in rows}
     chosen: dict[str, float] = {}
+    names = sorted(found)
     for term in sorted(found, key=lambda x: (len(x.strip()), x)):
-        if any(term.startswith(entry.rstrip()) and (not entry.endswith(" ") or entry == term) for entry in chosen):
+        # A chosen stem covers all that begins with it, a chosen word itself.
+        if any(term[:n] in chosen for n in range(2, len(term) + 1)):
             continue
         # The most specific entry that still has nearly all of the stem's texts.
-        longer = [x for x in found if x.startswith(term) and found[x] >= 0.9 * found[term]]
+        longer = [x for x in names[bisect_left(names, term) : bisect_right(names, term + chr(0x10FFFF))] if found[x] >= 0.9 * found[term]]
         best = max(longer, key=lambda x: (len(x), x))
         chosen[best] = odds[best]
     return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:max_entries])
@@ -197,8 +212,8 @@ def _hit_rows(entries: dict[str, float]):
 def learn_exceptions(sample: DataFrame, entries: dict[str, float], least: int = 3) -> tuple[str, ...]:
     """Two-word phrases around hits that several clean texts have and no toxic one."""
     phrases = sample.mapInArrow(_hit_rows(entries), "toxic int, phrases array<string>").select("toxic", F.explode("phrases").alias("p"))
-    rows = phrases.groupBy("p").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where((F.col("t") == 0) & (F.col("c") >= least)).orderBy("p").limit(10_000).collect()
-    return tuple(r["p"] for r in rows)
+    rows = phrases.groupBy("p").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where((F.col("t") == 0) & (F.col("c") >= least)).collect()
+    return tuple(sorted(r["p"] for r in rows))
 
 
 def _weights(lexicon: Lexicon):
@@ -244,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Per row: the id, ``score`` (0 to 1), ``predicted``, and what the lexicon found."""
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_weights(lexicon), "id long, weight double, n_hits long, n_words long, score double")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_weights(lexicon), f"id {id_type(docs, id_col)}, weight double, n_hits long, n_words long, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "weight", "n_hits", "n_words")
 
 
