@@ -29,12 +29,18 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.coupling(star.type_uses(spark, sf_dir), _members(spark, sf_dir), min_efferent=5)
 
 
+def _all() -> dict:
+    from factgraph import catalog_rules
+
+    return {**_QUERIES, **catalog_rules.QUERIES}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _QUERIES.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,9 +58,9 @@ def find_god_objects(spark, sf):
     return audits.coupling(star.type_uses(spark, sf), _members(spark, sf))
 
 
-@query("""WITH f AS (SELECT * FROM part WHERE contains(lower(p_name), 'a')) SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type_kind, (SELECT count(*) FROM f) AS total FROM f ORDER BY p_name, p_partkey LIMIT 50 OFFSET 10""")
+@query("""WITH f AS (SELECT * FROM part WHERE contains(lower(p_name), 'a')) SELECT p_partkey AS symbol_id, p_name AS name, p_type AS type_kind, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 60 AS has_more, CASE WHEN (SELECT count(*) FROM f) > 60 THEN 60 END::INT AS next_offset FROM f ORDER BY p_name, p_partkey LIMIT 50 OFFSET 10""")
 def search_symbols(spark, sf):
-    return search.search_symbols(star.symbols(spark, sf), "A", limit=50, offset=10).select("symbol_id", "name", "type_kind", "total")
+    return search.search_symbols(star.symbols(spark, sf), "A", limit=50, offset=10).select("symbol_id", "name", "type_kind", "total", "has_more", "next_offset")
 
 
 @query("""SELECT p_partkey AS symbol_id, p_name AS name FROM part WHERE regexp_matches(p_name, '^.*a.e.*$', 'i')""")
@@ -62,12 +68,8 @@ def search_symbols_glob(spark, sf):
     return star.symbols(spark, sf).where(predicates.glob(F.col("name"), "*a?e*")).select("symbol_id", "name")
 
 
-@query("""SELECT p_type AS type_kind, count(*) AS n FROM part WHERE p_size > 10 AND contains(lower(p_brand), 'brand') GROUP BY 1""")
-def semantic_query(spark, sf):
-    return search.count_by(search.semantic_query(star.symbols(spark, sf), namespace="Brand", accessibility="public"), "type_kind")
-
-
-_KIND = "CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'write' WHEN 'AF' THEN 'invocation' WHEN 'NO' THEN 'attribute' ELSE 'read' END"
+_KIND = """CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'write' WHEN l_linenumber % 5 = 0 THEN 'attribute' WHEN l_linenumber % 5 = 1 THEN 'typeof' WHEN l_linenumber % 5 = 2 AND l_quantity > 25 THEN 'cast'
+WHEN l_linenumber % 5 = 3 AND l_suppkey % 3 = 0 THEN 'nameof' WHEN l_linenumber % 5 = 3 AND l_quantity > 25 THEN 'invocation' ELSE 'read' END"""
 
 
 @query(f"""SELECT l_partkey AS symbol_id, {_KIND} AS kind, count(*) AS n, count(DISTINCT l_orderkey) AS n_docs FROM lineitem GROUP BY 1, 2""")
@@ -92,7 +94,7 @@ def find_unused_code(spark, sf):
     return references.unused(star.symbols(spark, sf), star.refs(spark, sf), 20, exempt).select("symbol_id", "n_refs")
 
 
-@query("""SELECT p_partkey AS symbol_id, n AS n_refs, d AS n_docs, CASE WHEN p_size > 10 THEN 'error' ELSE 'warning' END AS severity, p_size <= 10 AS safe FROM part JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_orderkey) AS d FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
+@query("""SELECT p_partkey AS symbol_id, coalesce(n, 0) AS n_refs, coalesce(d, 0) AS n_docs, CASE WHEN p_size > 10 THEN 'error' ELSE 'warning' END AS severity, p_size <= 10 OR n IS NULL AS safe FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_orderkey) AS d FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def analyze_change_impact(spark, sf):
     return references.change_impact(star.symbols(spark, sf), star.refs(spark, sf), "change_accessibility").select("symbol_id", "n_refs", "n_docs", "severity", "safe")
 
@@ -103,10 +105,12 @@ def get_method_signature(spark, sf):
     return search.overload(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], 2).select("o_custkey", "o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal FROM orders QUALIFY ordinal < 5""")
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal FROM orders""")
 def get_method_overloads(spark, sf):
+    """Every overload of a name, in order."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    return search.per_group(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    return o.select("o_custkey", "o_orderkey", rank.cast("long").alias("ordinal"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS node_id, l_linenumber * 5 AS a, l_linenumber * 5 + l_quantity::INT AS b FROM lineitem)
@@ -175,21 +179,6 @@ def get_project_health(spark, sf):
     return audits.health([audits.top(audits.diagnostics(found), "id", "diagnostics"), audits.top(audits.diagnostics(found, include_hidden=True), "severity", "severity"), audits.top(unused, "type_kind", "unused")])
 
 
-@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(//|/\*|\*|$)')))::BIGINT AS loc FROM documents""")
-def get_complexity_metrics(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", metrics.code_lines(F.col("text")).alias("loc"))
-
-
-@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS context FROM documents WHERE contains(text, 'the')""")
-def find_reflection_usage(spark, sf):
-    return table(spark, sf, "documents").where(F.contains("text", F.lit("the"))).select("doc_id", predicates.clip(F.col("text")).alias("context"))
-
-
-@query("""SELECT d.doc_id, source, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1 OR quality = 0""")
-def get_attributes(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id").where("toxic = 1 or quality = 0").select("doc_id", "source", F.col("quality").cast("long"), F.col("toxic").cast("long"))
-
-
 @query("""SELECT p_brand AS namespace, count(*) AS n_members, sum((p_size > 10)::INT)::BIGINT AS n_public, count(DISTINCT p_type) AS n_kinds, bool_or(p_size > 49) AS has_large FROM part GROUP BY 1""")
 def get_type_overview(spark, sf):
     return star.symbols(spark, sf).groupBy("namespace").agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("accessibility") == "Public").alias("n_public"), F.countDistinct("type_kind").alias("n_kinds"), F.bool_or(F.col("size") > 49).alias("has_large"))
@@ -201,9 +190,23 @@ def get_project_structure(spark, sf):
     return s.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("id")).cast("long")).where("ordinal <= 3")
 
 
-@query(f"""WITH {_CALLS} SELECT '    ' || translate(src, '.- ', '___') || ' --> ' || translate(dst, '.- ', '___') AS line FROM calls""")
+@query(f"""WITH {_CALLS}, n AS (SELECT src AS x FROM calls UNION SELECT dst FROM calls UNION SELECT 'alone ' || r_name FROM region)
+SELECT 0 AS part, 'graph TD' AS line UNION ALL SELECT 1, '  ' || translate(src, '.- ', '___') || '["' || src || '"] --> ' || translate(dst, '.- ', '___') || '["' || dst || '"]' FROM calls
+UNION ALL SELECT 1, '  ' || translate(x, '.- ', '___') || '["' || x || '"]' FROM n WHERE x NOT IN (SELECT src FROM calls)""")
 def dependency_graph(spark, sf):
-    return graph.mermaid(star.calls(spark, sf))
+    return graph.mermaid(star.calls(spark, sf), _projects(spark, sf))
+
+
+@query(f"""WITH {_CALLS}, n AS (SELECT src AS x FROM calls UNION SELECT dst FROM calls UNION SELECT 'alone ' || r_name FROM region)
+SELECT x AS node, (SELECT coalesce(string_agg(dst, ',' ORDER BY dst), '') FROM calls WHERE src = x) AS targets FROM n""")
+def dependency_map(spark, sf):
+    return graph.adjacency(star.calls(spark, sf), _projects(spark, sf)).select("node", F.array_join("targets", ",").alias("targets"))
+
+
+def _projects(spark, sf):
+    calls = star.calls(spark, sf)
+    alone = table(spark, sf, "region").select(F.concat(F.lit("alone "), "r_name").alias("node"))
+    return calls.select(F.col("src").alias("node")).unionByName(calls.select(F.col("dst").alias("node"))).unionByName(alone).distinct()
 
 
 @query("""SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'insert' WHEN b.p IS NULL THEN 'delete' WHEN a.h <> b.h THEN 'update' ELSE 'keep' END AS action
@@ -216,20 +219,23 @@ def sync_documents(spark, sf):
     return audits.sync(known, listed)
 
 
-@query("""SELECT n_nationkey AS type_id, p.member FROM nation, (SELECT DISTINCT p_brand AS member FROM part) p WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = n_nationkey AND p_brand = p.member)""")
-def get_missing_members(spark, sf):
-    x, p, s, n = (table(spark, sf, t) for t in ("lineitem", "part", "supplier", "nation"))
-    have = x.join(p, x["l_partkey"] == p["p_partkey"]).join(s, x["l_suppkey"] == s["s_suppkey"]).select(F.col("s_nationkey").alias("type_id"), F.col("p_brand").alias("member")).distinct()
-    brands = p.agg(F.collect_set("p_brand").alias("members"))
-    # Every type must have each member of the contract; the contract is one row.
-    wanted = n.select(F.col("n_nationkey").alias("type_id")).join(F.broadcast(brands), F.lit(True)).select("type_id", F.explode("members").alias("member"))
-    return wanted.join(have, ["type_id", "member"], "left_anti")
+_MARKED = "SELECT c_custkey AS owner_id, CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END || CASE WHEN c_custkey % 2 = 1 THEN 'Attribute' ELSE '' END AS attribute FROM customer"
 
 
-@query("""SELECT owner_id, attribute FROM (SELECT c_custkey AS owner_id, c_mktsegment || CASE WHEN c_custkey % 2 = 1 THEN 'Attribute' ELSE '' END AS attribute FROM customer) WHERE attribute IN ('HOUSEHOLD', 'HOUSEHOLDAttribute')""")
+def _marked(spark, sf):
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    attribute = F.concat(F.when(key % 5 == 0, F.lower(segment)).otherwise(segment), F.when(key % 2 == 1, "Attribute").otherwise(""))
+    return table(spark, sf, "customer").select(key.alias("owner_id"), attribute.alias("attribute"))
+
+
+@query(f"""SELECT owner_id, attribute FROM ({_MARKED}) WHERE lower(attribute) IN ('household', 'householdattribute')""")
 def find_attribute_usages(spark, sf):
-    attribute = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 2 == 1, "Attribute").otherwise(""))
-    return declarations.attribute_usages(table(spark, sf, "customer").select(F.col("c_custkey").alias("owner_id"), attribute.alias("attribute")), "HOUSEHOLDAttribute")
+    return declarations.attribute_usages(_marked(spark, sf), "HouseHold")
+
+
+@query(f"""SELECT owner_id, attribute FROM ({_MARKED}) WHERE lower(attribute) = 'householdattribute'""")
+def find_attribute_usages_full_name(spark, sf):
+    return declarations.attribute_usages(_marked(spark, sf), "HouseHoldAttribute")
 
 
 _CLOSURE = f"{_EDGES}, c AS (SELECT t, b, 1 AS depth FROM e UNION ALL SELECT x.t, y.b, 2 FROM e x JOIN e y ON x.b = y.t)"
@@ -253,21 +259,26 @@ def get_type_members(spark, sf):
 
 
 @query(f"""WITH {_OWN}, w AS (SELECT DISTINCT 's' || l_suppkey AS type_id FROM lineitem WHERE l_returnflag = 'R')
-SELECT type_id, name, CASE WHEN name IS NULL THEN 'not found' END AS error FROM w LEFT JOIN own USING (type_id)""")
+SELECT type_id, name, CASE WHEN name IS NULL AND type_id NOT IN (SELECT 's' || s_suppkey FROM supplier) THEN 'not found' END AS error FROM (SELECT type_id FROM w UNION ALL SELECT 'x1') LEFT JOIN own USING (type_id)""")
 def get_type_members_batch(spark, sf):
     wanted = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("type_id")).distinct()
-    found = declarations.members(_declared_members(spark, sf), spark.createDataFrame([], "src string, dst string, depth int"), inherited=False, limit=50)
-    return wanted.join(found.select("type_id", "name"), "type_id", "left").withColumn("error", F.when(F.col("name").isNull(), "not found"))
+    found = declarations.members(_declared_members(spark, sf), spark.range(0).select(F.lit("").alias("src"), F.lit("").alias("dst"), F.lit(0).alias("depth")), inherited=False, limit=50)
+    wanted = wanted.unionByName(spark.range(1).select(F.lit("x1").alias("type_id")))
+    known = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("type_id"), F.lit(True).alias("known"))
+    out = wanted.join(known, "type_id", "left").join(found.select("type_id", "name"), "type_id", "left")
+    return out.select("type_id", "name", F.when(F.col("known").isNull(), "not found").alias("error"))
 
 
-@query(f"""WITH {_CLOSURE}, u AS (SELECT t, string_agg(b, ',' ORDER BY depth, b) AS bases FROM c GROUP BY 1), k AS (SELECT b, t, row_number() OVER (PARTITION BY b ORDER BY t) AS rk FROM e),
+@query(f"""WITH {_CLOSURE}, h AS (SELECT t, b, depth FROM c WHERE NOT starts_with(t, 'c')), u AS (SELECT t, string_agg(b, ',' ORDER BY depth, b) AS bases FROM h GROUP BY 1),
+i AS (SELECT t, string_agg(b, ',' ORDER BY b) AS interfaces FROM c WHERE starts_with(t, 'c') GROUP BY 1), k AS (SELECT b, t, row_number() OVER (PARTITION BY b ORDER BY t) AS rk FROM e WHERE NOT starts_with(t, 'c')),
 d AS (SELECT b, count(*) AS n, string_agg(t, ',' ORDER BY t) FILTER (rk <= 5) AS derived FROM k GROUP BY 1)
-SELECT type_id, coalesce(bases, '') AS bases, coalesce(n, 0) AS n_derived, coalesce(derived, '') AS derived FROM (SELECT t AS type_id FROM e UNION SELECT b FROM e) LEFT JOIN u ON type_id = u.t LEFT JOIN d ON type_id = d.b""")
+SELECT type_id, coalesce(bases, '') AS bases, coalesce(interfaces, '') AS interfaces, coalesce(n, 0) AS n_derived, coalesce(derived, '') AS derived
+FROM (SELECT t AS type_id FROM e UNION SELECT b FROM e) LEFT JOIN u ON type_id = u.t LEFT JOIN i ON type_id = i.t LEFT JOIN d ON type_id = d.b""")
 def get_type_hierarchy(spark, sf):
     edges = star.type_edges(spark, sf)
     types = edges.select("type_id").unionByName(edges.select(F.col("base_id").alias("type_id"))).distinct()
     found = declarations.hierarchy(types, edges, graph.closure(edges, "type_id", "base_id"), max_derived=5)
-    return found.select("type_id", F.array_join("bases", ",").alias("bases"), "n_derived", F.array_join("derived", ",").alias("derived"))
+    return found.select("type_id", *[F.array_join(c, ",").alias(c) for c in ("bases", "interfaces")], "n_derived", F.array_join("derived", ",").alias("derived"))
 
 
 @query(f"""WITH {_CLOSURE} SELECT b AS base_id, t AS type_id, depth FROM c WHERE starts_with(b, 'r') AND starts_with(t, 's')""")
@@ -277,7 +288,7 @@ def find_implementations(spark, sf):
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, ['AddScoped', 'TryAddTransient', 'AddKeyedSingleton', 'AddHostedService', 'UseRouting', 'MapGet', 'AddSingletonFor'][l_linenumber] AS method, l_partkey AS service, CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_partkey END AS implementation FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <= 7)
-SELECT *, CASE WHEN contains(method, 'Scoped') THEN 'Scoped' WHEN contains(method, 'Transient') THEN 'Transient' WHEN contains(method, 'Singleton') THEN 'Singleton' ELSE 'Hosted' END AS lifetime FROM c WHERE method NOT IN ('UseRouting', 'MapGet')""")
+SELECT *, CASE WHEN contains(method, 'Scoped') THEN 'Scoped' WHEN contains(method, 'Transient') THEN 'Transient' WHEN contains(method, 'Singleton') THEN 'Singleton' ELSE 'Singleton' END AS lifetime FROM c WHERE method NOT IN ('UseRouting', 'MapGet')""")
 def get_di_registrations(spark, sf):
     names = F.array(*map(F.lit, ("AddScoped", "TryAddTransient", "AddKeyedSingleton", "AddHostedService", "UseRouting", "MapGet", "AddSingletonFor")))
     receiver = F.when(F.col("l_returnflag") == "A", "IServiceCollection").otherwise("IRouter")
@@ -286,14 +297,14 @@ def get_di_registrations(spark, sf):
     return declarations.registrations(calls).select("l_orderkey", "l_linenumber", "method", "service", "implementation", "lifetime")
 
 
-@query("""SELECT s_suppkey AS project, CASE WHEN s_suppkey % 3 < 2 THEN 'pkg' || s_nationkey END AS package, CASE s_suppkey % 3 WHEN 0 THEN '1.' || s_nationkey WHEN 1 THEN 'unknown' END AS version FROM supplier
-UNION ALL SELECT s_suppkey, 'child', '2' FROM supplier WHERE s_suppkey % 3 = 0""")
+@query("""SELECT s_suppkey AS project, CASE WHEN s_suppkey % 3 < 2 THEN 'pkg' || s_nationkey END AS package, CASE s_suppkey % 3 WHEN 0 THEN '1.' || s_nationkey WHEN 1 THEN 'unknown' END AS version, CASE WHEN s_suppkey % 3 = 1 THEN 'all' END AS private_assets FROM supplier
+UNION ALL SELECT s_suppkey, 'child', '2', NULL FROM supplier WHERE s_suppkey % 3 = 0""")
 def get_nuget_dependencies(spark, sf):
     s = table(spark, sf, "supplier")
     line = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('<PackageReference Include="pkg'), "s_nationkey", F.lit('" Version="1.'), "s_nationkey", F.lit('" /><PackageReference Include="child"><Version>2</Version></PackageReference>')))
-    line = line.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('<PackageReference Include="pkg'), "s_nationkey", F.lit('"/>'))).otherwise("")
+    line = line.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('<PackageReference Include="broken & bad" /><PackageReference Include="pkg'), "s_nationkey", F.lit('" PrivateAssets="all"/>'))).otherwise("")
     xml = F.concat(F.lit("<Project><ItemGroup>"), line, F.lit("</ItemGroup></Project>"))
-    return declarations.packages(s.select(F.col("s_suppkey").alias("project"), xml.alias("xml")))
+    return declarations.packages(s.select(F.col("s_suppkey").alias("project"), xml.alias("xml"))).drop("exclude_assets")
 
 
 _PATHS = "SELECT source, text, 'root/' || source || '/' || lang || '/f' || doc_id || '.g.cs' AS path, doc_id FROM documents"
@@ -317,7 +328,7 @@ def get_source_generators(spark, sf):
 
 
 @query("""WITH d AS (SELECT user_id AS doc_id, CASE event_type WHEN 'error' THEN 'CS0162' ELSE event_type END AS id, event_id % 500 AS a, event_id % 500 + 10 AS b, event_id AS ordinal FROM events), p AS (SELECT DISTINCT doc_id, id, 250 AS pos FROM d),
-r AS (SELECT d.*, CASE WHEN a <= pos AND pos <= b THEN 1 WHEN abs(a - pos) < 50 THEN 2 ELSE 3 END AS tier FROM p JOIN d USING (doc_id, id))
+r AS (SELECT d.*, CASE WHEN a <= pos AND pos < b THEN 1 WHEN abs(a - pos) < 50 THEN 2 ELSE 3 END AS tier FROM p JOIN d USING (doc_id, id))
 SELECT doc_id, id, tier, ordinal, CASE WHEN id = 'CS0162' THEN 'Remove unreachable code;Fix control flow logic' ELSE 'Review diagnostic message for fix guidance;Consult C# documentation for ' || id END AS suggestions
 FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY tier, a, ordinal) = 1""")
 def get_code_fixes(spark, sf):

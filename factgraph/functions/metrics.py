@@ -21,10 +21,20 @@ def cyclomatic(code: Column, short_circuit: bool = True) -> Column:
     return (base + F.regexp_count(code, F.lit(SHORT_CIRCUIT)) if short_circuit else base).cast("long")
 
 
+#: A using directive: plain, static, global or an alias; group 1 is the name that it is sorted by.
+USING = r"^(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.:]+(?:<[^;]*>)?)\s*;"
+
+
 def sort_usings(text: Column) -> Column:
-    """The leading using directives in order, System first and then by name; the rest stays."""
+    """The using directives of the file itself in order, System first and then by name as people sort; the rest stays.
+
+    Directives behind the first open brace belong to an inner scope and stay there.
+    """
     lines = F.split(text, "\n")
-    using = lambda x: x.rlike(r"^\s*using\s+[\w.]+\s*;")
-    name = lambda x: F.regexp_extract(x, r"using\s+([\w.]+)", 1)
-    keyed = F.transform(F.filter(lines, using), lambda x: F.struct((~F.startswith(name(x), F.lit("System"))).alias("later"), name(x).alias("name"), x.alias("line")))
-    return F.array_join(F.concat(F.transform(F.array_sort(keyed), lambda s: s["line"]), F.filter(lines, lambda x: ~using(x))), "\n")
+    inner = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("{"))), True)
+    head = F.when(inner > 0, F.slice(lines, F.lit(1), (inner - 1).cast("int"))).otherwise(lines)
+    tail = F.when(inner > 0, F.slice(lines, inner.cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+    using = lambda x: x.rlike(USING)
+    name = lambda x: F.regexp_extract(x, USING, 1)
+    keyed = F.transform(F.filter(head, using), lambda x, i: F.struct((~F.startswith(name(x), F.lit("System"))).alias("later"), F.collate(name(x), "UNICODE").alias("name"), i.alias("i"), x.alias("line")))
+    return F.array_join(F.concat(F.transform(F.array_sort(keyed), lambda s: s["line"]), F.filter(head, lambda x: ~using(x)), tail), "\n")

@@ -37,5 +37,10 @@ def attribute_named(column: Column, name: str) -> Column:
     return column.isin(name, f"{name}Attribute", name.removesuffix("Attribute"))
 
 
+def namespace_matches(column: Column, pattern: str) -> Column:
+    """An anchored wildcard pattern over the whole namespace, also without a wildcard in it."""
+    return glob(column, pattern)
+
+
 def clip(column: Column, size: int = 200) -> Column:
     return F.when(F.length(column) > size, F.concat(F.substring(column, 1, size), F.lit("..."))).otherwise(column)

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.graph import closure
 from factgraph.operators.search import first_per_key, per_group
 
 #: Name prefixes of methods that make a value of some type.
@@ -24,8 +25,8 @@ REGISTRATION_PREFIXES = (
     "TryAddScoped", "TryAddTransient", "TryAddSingleton",
     "AddKeyedScoped", "AddKeyedTransient", "AddKeyedSingleton",
 )
-#: The lifetime is the first of these words in the method's name.
-LIFETIMES = ("Scoped", "Transient", "Singleton", "Hosted")
+#: The lifetime goes by the first of these words in the method's name; a hosted service is a singleton.
+LIFETIMES = {"Scoped": "Scoped", "Transient": "Transient", "Singleton": "Singleton", "Hosted": "Singleton"}
 # What to suggest for a diagnostic id.
 SUGGESTIONS = {
     "CS0168": ["Remove unused variable", "Use the variable", "Prefix with underscore to indicate intentionally unused"],
@@ -62,9 +63,10 @@ def any_of(tests: Sequence[Column]) -> Column:
 
 
 def attribute_usages(attributes: DataFrame, name: str, *, column: str = "attribute") -> DataFrame:
-    """Rows whose attribute has the name given, with or without the suffix ``Attribute`` on either side."""
-    short = name.removesuffix("Attribute")
-    return attributes.where(F.col(column).isin(name, short, f"{short}Attribute"))
+    """Rows whose attribute class is called by the name given, in either case: whole, with ``Attribute`` behind the name, or with ``Attribute`` taken out of the class's."""
+    lower, wanted = F.lower(column), name.lower()
+    bare = F.lower(F.replace(F.col(column), F.lit("Attribute"), F.lit("")))
+    return attributes.where(lower.isin(wanted, f"{wanted}attribute") | (bare == wanted))
 
 
 def members(own: DataFrame, bases: DataFrame, *, inherited: bool = True, limit: int | None = None) -> DataFrame:
@@ -80,14 +82,24 @@ def members(own: DataFrame, bases: DataFrame, *, inherited: bool = True, limit:
     return found if limit is None else per_group(found, ["type_id"], ["depth", "ordinal", "name", "kind"], limit, "rank").drop("rank")
 
 
-def hierarchy(types: DataFrame, edges: DataFrame, bases: DataFrame, *, max_derived: int = 50) -> DataFrame:
-    """Per type: its bases from the nearest outwards, how many types derive from it directly, and the first of those."""
-    up = bases.groupBy(F.col("src").alias("type_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "dst"))), lambda b: b["dst"]).alias("bases"))
-    ranked = edges.withColumn("rank_", F.row_number().over(Window.partitionBy("base_id").orderBy("type_id")))
-    first = F.sort_array(F.collect_list(F.when(F.col("rank_") <= max_derived, F.col("type_id"))))
-    down = ranked.groupBy(F.col("base_id").alias("type_id")).agg(F.count(F.lit(1)).alias("n_derived"), first.alias("derived"))
+def hierarchy(types: DataFrame, edges: DataFrame, bases: DataFrame, *, max_derived: int = 50, root: str = "object") -> DataFrame:
+    """Per type: its base chain up to but without ``root``, all interfaces, how many types derive from it directly, and the first of those.
+
+    ``edges``: (type_id, base_id, relation), relation ``base`` or ``interface``; ``bases``: (src, dst,
+    depth), the closure over all edges. A base type is reached over base edges only; whatever else
+    is reached is an interface.
+    """
+    chain = closure(edges.where("relation = 'base'"), "type_id", "base_id").where(F.col("dst") != root)
+    up = chain.groupBy(F.col("src").alias("type_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "dst"))), lambda b: b["dst"]).alias("bases"))
+    interfaces = bases.where(F.col("dst") != root).join(chain.select("src", "dst"), ["src", "dst"], "left_anti").groupBy(F.col("src").alias("type_id")).agg(F.sort_array(F.collect_set("dst")).alias("interfaces"))
+    classes = edges.where("relation = 'base'")
+    # A task keeps the first few of each base before anything is shuffled.
+    ranked = per_group(classes.select("base_id", "type_id"), ["base_id"], ["type_id"], max_derived)
+    first = ranked.groupBy(F.col("base_id").alias("type_id")).agg(F.sort_array(F.collect_list("type_id")).alias("derived"))
+    count = classes.groupBy(F.col("base_id").alias("type_id")).agg(F.count(F.lit(1)).alias("n_derived"))
     none = F.array().cast("array<string>")
-    return types.join(up, "type_id", "left").join(down, "type_id", "left").select("type_id", F.coalesce("bases", none).alias("bases"), F.coalesce("n_derived", F.lit(0)).alias("n_derived"), F.coalesce("derived", none).alias("derived"))
+    found = types.join(up, "type_id", "left").join(interfaces, "type_id", "left").join(count, "type_id", "left").join(first, "type_id", "left")
+    return found.select("type_id", *[F.coalesce(c, none).alias(c) for c in ("bases", "interfaces")], F.coalesce("n_derived", F.lit(0)).alias("n_derived"), F.coalesce("derived", none).alias("derived"))
 
 
 def registrations(calls: DataFrame, prefixes: Sequence[str] = REGISTRATION_PREFIXES, container: str = "ServiceCollection") -> DataFrame:
@@ -96,21 +108,32 @@ def registrations(calls: DataFrame, prefixes: Sequence[str] = REGISTRATION_PREFI
     ``calls``: (method, receiver, type_args array<string>) and any other columns.
     """
     named = any_of([F.startswith("method", F.lit(p)) for p in prefixes])
-    lifetime = F.coalesce(*[F.when(F.contains("method", F.lit(word)), word) for word in LIFETIMES], F.lit("Unknown"))
+    lifetime = F.coalesce(*[F.when(F.contains("method", F.lit(word)), name) for word, name in LIFETIMES.items()], F.lit("Unknown"))
     service, implementation = F.get("type_args", F.lit(0)), F.get("type_args", F.lit(1))
     return calls.where(named & F.contains("receiver", F.lit(container))).withColumns({"lifetime": lifetime, "service": service, "implementation": F.coalesce(implementation, service)})
 
 
 def packages(projects: DataFrame, *, xml: str = "xml") -> DataFrame:
-    """(project, package, version) of every ``PackageReference``, as attribute or child element; projects without one keep a row."""
+    """(project, package, version, private_assets, exclude_assets) of every ``PackageReference``, as attribute or child element; projects without one keep a row.
+
+    An element that is no valid XML is skipped.
+    """
     element = r"(?s)<PackageReference\b[^>]*?/>|<PackageReference\b.*?</PackageReference>"
-    items = projects.select("project", F.explode_outer(F.regexp_extract_all(F.col(xml), F.lit(element), F.lit(0))).alias("item"))
+    found = F.filter(F.regexp_extract_all(F.col(xml), F.lit(element), F.lit(0)), _well_formed)
+    items = projects.select("project", F.explode_outer(found).alias("item"))
 
     def part(name: str) -> Column:
         return F.coalesce(*[F.nullif(F.xpath_string("item", F.lit(f"/PackageReference/{path}")), F.lit("")) for path in (f"@{name}", name)])
 
     version = F.when(F.col("item").isNotNull(), F.coalesce(part("Version"), F.lit("unknown")))
-    return items.select("project", part("Include").alias("package"), version.alias("version"))
+    return items.select("project", part("Include").alias("package"), version.alias("version"), part("PrivateAssets").alias("private_assets"), part("ExcludeAssets").alias("exclude_assets"))
+
+
+def _well_formed(element: Column) -> Column:
+    """Whether a short element is valid XML: tags that nest, attributes in quotes, no bare ampersand or bracket."""
+    attributes = r"(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<&]*\"|'[^'<&]*'))*+\s*"
+    child = rf"\s*<([\w:.-]+){attributes}(?:/>|>[^<>&]*</\1\s*>)"
+    return F.regexp_replace(element, r"&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);", "").rlike(rf"^<PackageReference{attributes}(?:/>|>(?:{child})*\s*[^<>&]*</PackageReference\s*>)$")
 
 
 def generated(documents: DataFrame, written: DataFrame, *, key: str = "path") -> DataFrame:
@@ -124,9 +147,9 @@ def first_containing(documents: DataFrame, text: str, *, keys: list[str], column
 
 
 def nearest_diagnostic(positions: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Per (doc_id, id, pos) one diagnostic of that id: one that holds the position, else one that starts near, else any; first in source order."""
+    """Per (doc_id, id, pos) one diagnostic of that id: one whose span, without its end, holds the position, else one that starts near, else any; first in source order."""
     both = positions.join(diagnostics, ["doc_id", "id"])
-    tier = F.when((F.col("span_start") <= F.col("pos")) & (F.col("pos") <= F.col("span_end")), 1).when(F.abs(F.col("span_start") - F.col("pos")) < NEAR, 2).otherwise(3)
+    tier = F.when((F.col("span_start") <= F.col("pos")) & (F.col("pos") < F.col("span_end")), 1).when(F.abs(F.col("span_start") - F.col("pos")) < NEAR, 2).otherwise(3)
     return first_per_key(both.withColumn("tier", tier), ["doc_id", "id", "pos"], ["tier", "span_start", "ordinal"])
 
 
@@ -185,6 +208,18 @@ def sources(requests: DataFrame, declared: DataFrame, documents: DataFrame) -> D
     return hit.select("request_id", text.alias("source"), F.size(F.split(text, "\n", -1)).alias("n_lines"), error.alias("error")).withColumn("n_lines", F.when(F.col("error").isNull(), F.col("n_lines")))
 
 
+def sources_batch(requests: DataFrame, declared: DataFrame, documents: DataFrame, *, max_methods: int = 20) -> DataFrame:
+    """``sources`` for batches of requests; a batch of more than ``max_methods`` gets an error for each request and no text.
+
+    ``requests``: (batch_id, request_id, type_id, name, index).
+    """
+    sizes = requests.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_requests"))
+    found = requests.select("batch_id", "request_id").join(sizes, "batch_id").join(sources(requests.drop("batch_id"), declared, documents), "request_id")
+    over = F.col("n_requests") > max_methods
+    hide = lambda c: F.when(~over, F.col(c)).alias(c)
+    return found.select("batch_id", "request_id", hide("source"), hide("n_lines"), F.when(over, "too many methods").otherwise(F.col("error")).alias("error"))
+
+
 def file_overview(documents: DataFrame, diagnostics: DataFrame, types: DataFrame) -> DataFrame:
     """Per document its lines, type declarations and diagnostics by severity."""
     severities = diagnostics.groupBy("doc_id").agg(F.count_if(F.col("severity") == "Error").alias("n_errors"), F.count_if(F.col("severity") == "Warning").alias("n_warnings"), F.count_if(F.col("severity") == "Info").alias("n_infos"))

@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.operators.search import first_per_key
-
-#: Syntax forms to reference kinds, in order of precedence; any other form is a read.
-KINDS = {"RF": "write", "AF": "invocation", "NO": "attribute"}
-
-
-def classify(refs: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
-    kind = F.coalesce(*[F.when(F.col("syntax_form") == form, F.lit(name)) for form, name in kinds.items()], F.lit("read"))
-    return refs.withColumn("kind", kind)
-
+from factgraph.operators.rules import reference_kind
+from factgraph.operators.search import first_per_key, per_group
 
 def reference_counts(refs: DataFrame) -> DataFrame:
     """Per symbol and kind; one shuffle with partial counts, so a hot symbol costs one row a task."""
-    return classify(refs).groupBy("symbol_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return refs.withColumn("kind", reference_kind()).groupBy("symbol_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def callers(refs: DataFrame, locations: int = 3) -> DataFrame:
-    """Per symbol and caller: how many locations, and the first few of them as one text."""
-    spot = F.struct("doc_id", "line")
-    grouped = refs.groupBy("symbol_id", "in_symbol_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(spot)).alias("spots"))
-    text = F.array_join(F.transform(F.slice("spots", 1, locations), lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["line"].cast("string"))), ",")
-    return grouped.select("symbol_id", "in_symbol_id", "n", text.alias("first_spots"))
+    """Per symbol and caller: how many locations, and the first few of them as one text.
+
+    Only the locations that are shown are gathered; the others are counted.
+    """
+    keys = ["symbol_id", "in_symbol_id"]
+    counts = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    first = per_group(refs.select(*keys, "doc_id", "line").distinct(), keys, ["doc_id", "line"], locations)
+    spots = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["line"].cast("string")))
+    return counts.join(first.groupBy(*keys).agg(F.array_join(spots, ",").alias("first_spots")), keys)
 
 
 def outgoing(refs: DataFrame, limit: int = 50) -> DataFrame:
@@ -47,11 +43,13 @@ IMPACT = {"rename": "info", "changetype": "warning", "addparameter": "error", "r
 
 
 def change_impact(symbols: DataFrame, refs: DataFrame, change: str) -> DataFrame:
-    """Per symbol: how many references a change touches, how severe it is, and whether it is safe."""
+    """Per symbol: how many references a change touches, how severe it is for each, and whether it is safe; symbols without references are safe."""
     key = change.lower().replace("_", "")
     if key == "changeaccessibility":
         severity = F.when(F.col("accessibility") == "Public", "error").otherwise("warning")
     else:
         severity = F.lit(IMPACT.get(key, "info"))
     counts = refs.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n_refs"), F.countDistinct("doc_id").alias("n_docs"))
-    return symbols.join(counts, "symbol_id").withColumn("severity", severity).withColumn("safe", F.col("severity") != "error")
+    found = symbols.join(counts, "symbol_id", "left").na.fill(0, ["n_refs", "n_docs"])
+    # Without references nothing breaks.
+    return found.withColumn("severity", severity).withColumn("safe", (F.col("severity") != "error") | (F.col("n_refs") == 0))

@@ -23,23 +23,11 @@ def search_symbols(symbols: DataFrame, query: str, *, kind: str | None = None, n
     if kind:
         where &= P.equals(F.col("type_kind"), kind)
     if namespace:
-        where &= P.name_matches(F.col("namespace"), namespace)
+        where &= P.namespace_matches(F.col("namespace"), namespace)
     found = symbols.where(where)
-    return with_total(page(found, ["name", "symbol_id"], limit, offset), found)
-
-
-def semantic_query(symbols: DataFrame, *, kinds: list[str] | None = None, namespace: str | None = None, accessibility: str | None = None, predicates: list[Column] | None = None) -> DataFrame:
-    """The conjunction of the predicates that are given."""
-    tests = list(predicates or [])
-    if kinds:
-        tests.append(F.lower("type_kind").isin(*[k.lower() for k in kinds]))
-    if namespace:
-        tests.append(P.name_matches(F.col("namespace"), namespace))
-    if accessibility:
-        tests.append(P.equals(F.col("accessibility"), accessibility))
-    for test in tests:
-        symbols = symbols.where(test)
-    return symbols
+    paged = with_total(page(found, ["name", "symbol_id"], limit, offset), found)
+    more = F.col("total") > offset + limit
+    return paged.withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + limit))})
 
 
 def count_by(found: DataFrame, column: str) -> DataFrame:
@@ -47,7 +35,10 @@ def count_by(found: DataFrame, column: str) -> DataFrame:
 
 
 def first_per_key(frame: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep-first by an explicit order, which a bare dropDuplicates does not promise."""
+    """Keep-first by an explicit order, which a bare dropDuplicates does not promise.
+
+    The comparison with the limit is pushed below the shuffle, so that a task sends one row a key.
+    """
     return frame.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn_ = 1").drop("rn_")
 
 
@@ -62,7 +53,17 @@ def overload(frame: DataFrame, keys: list[str], order: list, index: int) -> Data
     return best.where("rn_ = 1").drop("rn_")
 
 
+#: Characters of a stretch of a document; positions meet the spans of their stretch only.
+STRETCH = 4096
+
+
 def enclosing(positions: DataFrame, spans: DataFrame) -> DataFrame:
-    """For each (doc_id, pos) the smallest span that holds it; one shuffle on the document."""
-    hit = positions.join(spans, "doc_id").where("span_start <= pos and pos < span_end")
+    """For each (doc_id, pos) the smallest span that holds it.
+
+    Spans are sent to every stretch of the document that they touch, so a document with very many
+    positions and spans is split over many tasks, and a position is compared with few spans.
+    """
+    block = lambda c: F.floor(c / STRETCH)
+    cut = spans.where("span_start < span_end").withColumn("block_", F.explode(F.sequence(block(F.col("span_start")), block(F.col("span_end") - 1))))
+    hit = positions.withColumn("block_", block(F.col("pos"))).join(cut, ["doc_id", "block_"]).where("span_start <= pos and pos < span_end").drop("block_")
     return first_per_key(hit, ["doc_id", "pos"], [F.col("span_end") - F.col("span_start"), "span_start", "node_id"])

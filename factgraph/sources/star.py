@@ -15,15 +15,22 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 def refs(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "lineitem")
-    form = F.concat("l_returnflag", "l_linestatus")
-    return x.select(F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("in_symbol_id"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), form.alias("syntax_form"))
+    nearest = F.get(F.array(*map(F.lit, ("attribute", "typeof", "cast", "invocation"))), F.col("l_linenumber") % 5)
+    side = F.when(nearest == "cast", F.when(F.col("l_quantity") > 25, "type").otherwise("operand")).otherwise(F.when(F.col("l_quantity") > 25, "callee").otherwise("argument"))
+    return x.select(
+        F.col("l_partkey").alias("symbol_id"), F.col("l_suppkey").alias("in_symbol_id"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("col"),
+        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("is_write"), nearest.alias("nearest"), side.alias("side"), F.when(F.col("l_suppkey") % 3 == 0, "nameof").otherwise("Run").alias("callee"),
+    )
 
 
 def type_edges(spark: SparkSession, sf: str) -> DataFrame:
     """customer and supplier -> nation -> region: a chain of bases."""
     c, s, n = (table(spark, sf, t) for t in ("customer", "supplier", "nation"))
     key = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string"))
-    return c.select(key("c", "c_custkey").alias("type_id"), key("n", "c_nationkey").alias("base_id")).unionByName(s.select(key("s", "s_suppkey").alias("type_id"), key("n", "s_nationkey").alias("base_id"))).unionByName(n.select(key("n", "n_nationkey").alias("type_id"), key("r", "n_regionkey").alias("base_id")))
+    relation = lambda name: F.lit(name).alias("relation")
+    one = c.select(key("c", "c_custkey").alias("type_id"), key("n", "c_nationkey").alias("base_id"), relation("interface"))
+    two = s.select(key("s", "s_suppkey").alias("type_id"), key("n", "s_nationkey").alias("base_id"), relation("base"))
+    return one.unionByName(two).unionByName(n.select(key("n", "n_nationkey").alias("type_id"), key("r", "n_regionkey").alias("base_id"), relation("base")))
 
 
 def type_uses(spark: SparkSession, sf: str) -> DataFrame:

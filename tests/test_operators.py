@@ -50,6 +50,10 @@ def test_usings(spark):
     text = "using Zed;\nusing System.Linq;\nusing Alpha;\nusing System;\nclass C {}"
     got = spark.range(1).select(metrics.sort_usings(F.lit(text))).first()[0]
     assert got.split("\n") == ["using System;", "using System.Linq;", "using Alpha;", "using Zed;", "class C {}"]
+    # Aliases and static directives are sorted too, by the name they stand for; an inner scope keeps its own.
+    text = "using static Zed.Z;\nusing b = Beta.B;\nusing alpha;\nusing Gamma;\nnamespace N {\nusing Zed;\nusing Alpha;\n}"
+    got = spark.range(1).select(metrics.sort_usings(F.lit(text))).first()[0]
+    assert got.split("\n") == ["using alpha;", "using b = Beta.B;", "using Gamma;", "using static Zed.Z;", "namespace N {", "using Zed;", "using Alpha;", "}"]
 
 
 def test_coupling(spark):
