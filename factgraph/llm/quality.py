@@ -197,4 +197,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+ABLATION_SQL = f"""WITH ledger AS ({ORACLE_SQL}), rules(rule, bit) AS (VALUES {", ".join(f"('{rule.name}', {1 << i}::BIGINT)" for i, rule in enumerate(RULES))})
+SELECT rule, bit, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only FROM ledger, rules GROUP BY 1, 2"""
+
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")

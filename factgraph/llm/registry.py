@@ -28,6 +28,13 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(*quality.COLUMNS)
 
 
+def op3_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the policy: how many documents fail it, and how many only it rejects."""
+    from factgraph.llm import quality
+
+    return quality.ablate(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factgraph.llm import mixing
 
@@ -77,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from factgraph.llm import backoff, fixity, quality
 
-    return {"op1_merkle_fixity": fixity.ORACLE_SQL, "op3_quality_ledger": quality.ORACLE_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL}
+    return {"op1_merkle_fixity": fixity.ORACLE_SQL, "op3_quality_ledger": quality.ORACLE_SQL, "op3_quality_ablation": quality.ABLATION_SQL, "op7_stupid_backoff": backoff.ORACLE_SQL}

@@ -187,9 +187,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr
         frame = frame.withColumn("more", F.array().cast("array<struct<rank:int,kind:string,start:int,end:int>>"))
     else:
         tokens = F.regexp_extract_all(F.col("text_"), F.lit(TOKEN), F.lit(0))
-        random = lambda t: evidence(t, model, mean, alpha, threshold) >= threshold
-        frame = S.matches(frame.withColumn("likely_", F.exists(tokens, random)), "text_", "token", TOKEN, guard=F.col("likely_"))
-        token = F.filter("token", lambda t: random(t["found"]) & ~S.overlaps(t, F.col("base")))
+        # The matches are these tokens in the same order, so each token's evidence is computed once.
+        frame = frame.withColumn("evidence_", F.transform(tokens, lambda t: evidence(t, model, mean, alpha, threshold)))
+        frame = S.matches(frame, "text_", "token", TOKEN, guard=F.exists("evidence_", lambda e: e >= threshold))
+        token = F.zip_with("token", "evidence_", lambda t, e: F.struct(t["start"].alias("start"), t["end"].alias("end"), e.alias("e")))
+        token = F.filter(token, lambda t: t["start"].isNotNull() & (t["e"] >= threshold) & ~S.overlaps(t, F.col("base")))
         frame = frame.withColumn("more", S.label(token, "random", 3))
     frame = frame.withColumn("base", S.by_start(F.col("base")))
     return frame.select(
