@@ -154,12 +154,16 @@ def find_circular_dependencies(spark, sf):
 
 @query("""SELECT p_partkey AS symbol_id, p_size::BIGINT AS complexity FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') ORDER BY p_size DESC, p_partkey LIMIT 50""")
 def find_untested_code(spark, sf):
+    return _uncovered(spark, sf).select("symbol_id", F.col("size").cast("long").alias("complexity")).orderBy(F.desc("complexity"), "symbol_id").limit(50)
+
+
+def _uncovered(spark, sf):
+    """Public symbols that no test reaches."""
     x, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     edges = x.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     roots = o.where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
     hit = graph.reached(edges, roots).where(F.startswith("node", F.lit("p"))).select(F.expr("cast(substring(node, 2) as bigint)").alias("symbol_id"))
-    surface = star.symbols(spark, sf).where("accessibility = 'Public'")
-    return surface.join(hit, "symbol_id", "left_anti").select("symbol_id", F.col("size").cast("long").alias("complexity")).orderBy(F.desc("complexity"), "symbol_id").limit(50)
+    return star.symbols(spark, sf).where("accessibility = 'Public'").join(hit, "symbol_id", "left_anti")
 
 
 _DIAG = """d AS (SELECT user_id AS doc_id, event_type AS id, CASE WHEN value > 75 THEN 'Error' WHEN value > 50 THEN 'Warning' WHEN value > 25 THEN 'Info' ELSE 'Hidden' END AS severity, props AS message, event_id AS ordinal FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) = 1)"""
@@ -172,11 +176,15 @@ def get_diagnostics(spark, sf):
 
 @query(f"""WITH {_DIAG} (SELECT 'diagnostics' AS section, id AS key, count(*) AS n FROM d WHERE severity <> 'Hidden' GROUP BY 2 ORDER BY n DESC, key LIMIT 5)
 UNION ALL (SELECT 'severity', severity, count(*) AS n FROM d GROUP BY 2 ORDER BY n DESC, severity LIMIT 5)
-UNION ALL (SELECT 'unused', p_type, count(*) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1) ON p_partkey = l_partkey WHERE coalesce(c, 0) <= 20 GROUP BY 2 ORDER BY n DESC, p_type LIMIT 5)""")
+UNION ALL (SELECT 'unused', p_type, count(*) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1) ON p_partkey = l_partkey WHERE coalesce(c, 0) <= 20 GROUP BY 2 ORDER BY n DESC, p_type LIMIT 5)
+UNION ALL (SELECT 'hotspots', id::VARCHAR, efferent FROM (SELECT o.id, efferent, round_even(0.4 * efferent + 0.4 * members + 0.2 * coalesce(afferent, 0), 2) AS score FROM (SELECT owner_id AS id, count(*) AS efferent FROM ({_USES}) GROUP BY 1) o
+JOIN (SELECT l_partkey AS id, count(*) AS members FROM lineitem GROUP BY 1) m ON o.id = m.id LEFT JOIN (SELECT used_id AS id, count(*) AS afferent FROM ({_USES}) GROUP BY 1) i ON o.id = i.id WHERE efferent >= 20 AND members >= 20 ORDER BY score DESC, o.id LIMIT 5))
+UNION ALL (SELECT 'uncovered', p_brand, count(*) AS n FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT') GROUP BY 2 ORDER BY n DESC, p_brand LIMIT 5)""")
 def get_project_health(spark, sf):
     found = star.diagnostics(spark, sf)
     unused = references.unused(star.symbols(spark, sf), star.refs(spark, sf), 20)
-    return audits.health([audits.top(audits.diagnostics(found), "id", "diagnostics"), audits.top(audits.diagnostics(found, include_hidden=True), "severity", "severity"), audits.top(unused, "type_kind", "unused")])
+    hotspots = audits.coupling(star.type_uses(spark, sf), _members(spark, sf), limit=5)
+    return audits.health([audits.top(audits.diagnostics(found), "id", "diagnostics"), audits.top(audits.diagnostics(found, include_hidden=True), "severity", "severity"), audits.top(unused, "type_kind", "unused"), hotspots.select(F.lit("hotspots").alias("section"), F.col("id").cast("string").alias("key"), F.col("efferent").alias("n")), audits.top(_uncovered(spark, sf), "namespace", "uncovered")])
 
 
 @query("""SELECT p_brand AS namespace, count(*) AS n_members, sum((p_size > 10)::INT)::BIGINT AS n_public, count(DISTINCT p_type) AS n_kinds, bool_or(p_size > 49) AS has_large FROM part GROUP BY 1""")
@@ -184,10 +192,11 @@ def get_type_overview(spark, sf):
     return star.symbols(spark, sf).groupBy("namespace").agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("accessibility") == "Public").alias("n_public"), F.countDistinct("type_kind").alias("n_kinds"), F.bool_or(F.col("size") > 49).alias("has_large"))
 
 
-@query("""SELECT s_nationkey AS project, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS ordinal FROM supplier QUALIFY ordinal <= 3""")
+@query("""WITH x AS (SELECT s_nationkey AS project, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS o, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+SELECT project, any_value(n) AS n, string_agg(id::VARCHAR, ',' ORDER BY o) FILTER (WHERE o <= 3) || CASE WHEN any_value(n) > 3 THEN ',... and ' || (any_value(n) - 3) || ' more' ELSE '' END AS items FROM x GROUP BY 1""")
 def get_project_structure(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("id"))
-    return s.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("id")).cast("long")).where("ordinal <= 3")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("item"))
+    return declarations.listing(s, limit=3).select("project", "n", F.array_join("items", ",").alias("items"))
 
 
 @query(f"""WITH {_CALLS}, n AS (SELECT src AS x FROM calls UNION SELECT dst FROM calls UNION SELECT 'alone ' || r_name FROM region)
@@ -379,10 +388,12 @@ def get_method_source(spark, sf):
 
 
 @query(f"""WITH {_DIAG}, s AS (SELECT doc_id, sum((severity = 'Error')::INT)::BIGINT AS e, sum((severity = 'Warning')::INT)::BIGINT AS w, sum((severity = 'Info')::INT)::BIGINT AS i FROM d GROUP BY 1), t AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT x.doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, coalesce(e, 0) AS n_errors, coalesce(w, 0) AS n_warnings, coalesce(i, 0) AS n_infos, coalesce(n, 0) AS n_types FROM documents x LEFT JOIN s ON x.doc_id = s.doc_id LEFT JOIN t ON x.doc_id = l_orderkey""")
+SELECT x.doc_id, (len(string_split(text, chr(10))) + CASE WHEN x.doc_id % 3 = 0 THEN 3 ELSE 0 END)::BIGINT AS n_lines, CASE WHEN x.doc_id % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_usings, CASE WHEN x.doc_id % 3 = 0 THEN 'N' || x.doc_id % 7 || '.X' END AS namespace, coalesce(e, 0) AS n_errors, coalesce(w, 0) AS n_warnings, coalesce(i, 0) AS n_infos, coalesce(n, 0) AS n_types FROM documents x LEFT JOIN s ON x.doc_id = s.doc_id LEFT JOIN t ON x.doc_id = l_orderkey""")
 def get_file_overview(spark, sf):
     types = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
-    return declarations.file_overview(table(spark, sf, "documents"), audits.diagnostics(star.diagnostics(spark, sf)), types)
+    head = F.concat(F.lit("using A;\nglobal using static B.C;\nnamespace N"), (F.col("doc_id") % 7).cast("string"), F.lit(".X;\n"))
+    documents = table(spark, sf, "documents").withColumn("text", F.concat(F.when(F.col("doc_id") % 3 == 0, head).otherwise(""), "text"))
+    return declarations.file_overview(documents, audits.diagnostics(star.diagnostics(spark, sf)), types)
 
 
 _DIRS = "SELECT ['root', 'root/src0', 'root/src1/en', 'root/src2/fr', 'other'][r_regionkey + 1] AS dir, r_name AS project FROM region"

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph import sinks
 from factgraph.functions import metrics
 from factgraph.operators import complexity, declarations, flow, graph, lookup, rewrite, rules, search
 from factgraph.runtime import table
-from factgraph.sources import star
+from factgraph.sources import solution, star
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -436,3 +437,17 @@ def get_method_source_batch(spark, sf):
     declared = d.select(F.col("source").alias("type_id"), name.alias("name"), rank.cast("long").alias("ordinal"), "doc_id", F.lit(5).alias("span_start"), F.lit(40).alias("span_length"))
     requests = s.select(F.col("s_nationkey").alias("batch_id"), k.alias("request_id"), F.concat(F.lit("src"), (k % 4).cast("string")).alias("type_id"), F.concat(F.lit("f"), (k % 12).cast("string")).alias("name"), (k % 3 * 20).alias("index"))
     return declarations.sources_batch(requests, declared, d, max_methods=3).select("batch_id", "request_id", "source", "error")
+
+
+# --- sinks and paths --------------------------------------------------------------------------------------------
+
+@query("""SELECT event_id, to_json({'eventId': event_id, 'userId': user_id, 'eventType': event_type, 'at': strftime(ts, '%Y-%m-%dT%H:%M:%SZ')})::VARCHAR AS json FROM events""")
+def json_events(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", sinks.utc_stamp(F.col("ts")).alias("at"))
+    return sinks.json_lines(e).select(F.get_json_object("json", "$.eventId").cast("long").alias("event_id"), "json")
+
+
+@query("""SELECT doc_id, CASE WHEN source = 'src1' THEN lang || '/f' || doc_id || '.cs' ELSE '/root/' || source || '/' || lang || '/f' || doc_id || '.cs' END AS path FROM documents""")
+def relative_paths(spark, sf):
+    path = F.concat(F.lit("file:///root\\x\\..\\"), "source", F.lit("/./"), "lang", F.lit("/f"), "doc_id", F.lit(".cs"))
+    return table(spark, sf, "documents").select("doc_id", solution.relative(solution.slashes(path), "/root/src1").alias("path"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.functions import metrics
 from factgraph.operators.graph import closure
 from factgraph.operators.search import first_per_key, per_group
 
@@ -221,13 +222,26 @@ def sources_batch(requests: DataFrame, declared: DataFrame, documents: DataFrame
 
 
 def file_overview(documents: DataFrame, diagnostics: DataFrame, types: DataFrame) -> DataFrame:
-    """Per document its lines, type declarations and diagnostics by severity."""
+    """Per document its lines, using directives, first namespace, type declarations and diagnostics by severity."""
     severities = diagnostics.groupBy("doc_id").agg(F.count_if(F.col("severity") == "Error").alias("n_errors"), F.count_if(F.col("severity") == "Warning").alias("n_warnings"), F.count_if(F.col("severity") == "Info").alias("n_infos"))
     declared = types.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_types"))
-    lines = documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
+    usings = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x).rlike(metrics.USING))).cast("long")
+    namespace = F.nullif(F.regexp_extract("text", r"(?m)^\s*namespace\s+([\w.]+)", 1), F.lit(""))
+    lines = documents.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), usings.alias("n_usings"), namespace.alias("namespace"))
     return lines.join(severities, "doc_id", "left").join(declared, "doc_id", "left").na.fill(0, ["n_errors", "n_warnings", "n_infos", "n_types"])
 
 
+def listing(items: DataFrame, *, limit: int) -> DataFrame:
+    """(project, n, items): the first items of each project in order, and a mark for how many more there are.
+
+    ``items``: (project, item).
+    """
+    totals = items.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    first = per_group(items.select("project", "item"), ["project"], ["item"], limit).groupBy("project").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.col("item").cast("string").alias("item")))), lambda x: x["item"]).alias("items"))
+    more = F.when(F.col("n") > limit, F.array(F.concat(F.lit("... and "), (F.col("n") - limit).cast("string"), F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    return totals.join(first, "project").withColumn("items", F.concat("items", more))
+
+
 def owning_project(paths: DataFrame, projects: DataFrame, *, separator: str = "/") -> DataFrame:
     """Each path's project: the one with the longest directory that holds it.
 

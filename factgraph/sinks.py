@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,11 @@ def camel_case(name: str) -> str:
     return re.sub(r"_+(\w)", lambda m: m[1].upper(), name.rstrip("_"))
 
 
+def utc_stamp(moment: Column) -> Column:
+    """A timestamp as ``yyyy-MM-ddTHH:mm:ssZ``; the session's time zone must be UTC."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def json_lines(frame: DataFrame, *, nulls: bool = True) -> DataFrame:
     """One JSON object a row, names in camel case; nulls are written out unless told otherwise."""
     row = F.struct(*[F.col(f"`{c}`").alias(camel_case(c)) for c in frame.columns])
