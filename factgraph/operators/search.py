@@ -43,7 +43,9 @@ def first_per_key(frame: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def per_group(frame: DataFrame, keys: list[str], order: list, limit: int, name: str = "ordinal") -> DataFrame:
-    return frame.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col(name) < limit)
+    """The first rows of each key, numbered from 0; a task keeps no more of a key than that before anything is shuffled."""
+    ranked = frame.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn_") <= limit)
+    return ranked.withColumn(name, F.col("rn_") - 1).drop("rn_")
 
 
 def overload(frame: DataFrame, keys: list[str], order: list, index: int) -> DataFrame:
