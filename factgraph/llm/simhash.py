@@ -210,7 +210,8 @@ def digest(docs: DataFrame, **names) -> DataFrame:
 def best_rows(found: DataFrame) -> DataFrame:
     """(id, row) of every row of ``found`` (id, row, component) but the first of its component, by id (null last) and row."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    # Most components are one row, and send nothing.
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     rest = found.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS))).join(spread, ["component", "salt"])
     return rest.where(order != F.col("first")).select("id", "row")
