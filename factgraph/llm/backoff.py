@@ -193,7 +193,7 @@ def layout(size: int, block_bytes: int, part_bytes: int, most_blocks: int = 1 <<
     return blocks, parts
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, block_bytes: int = 8 << 20, part_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, block_bytes: int = 8 << 20, part_bytes: int = 10 << 20) -> DataFrame:
     """Per row: the id, ``n_words``, ``n_backoff`` (words whose longest n-gram occurs nowhere else), ``logprob`` and its mean."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, parts = layout(size, block_bytes, part_bytes)
