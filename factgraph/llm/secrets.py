@@ -26,6 +26,7 @@ of any name do not matter. Tokens and texts may have any length.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -88,16 +89,28 @@ def _characters(token: Column) -> Column:
     return F.filter(F.split(token, ""), lambda c: c != "")
 
 
+def _array(values: list, kind: str) -> Column:
+    """A fixed array as one literal, which keeps the plan small."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _encoding(token: Column) -> Column:
+    """The number of the narrowest encoding that a token fits."""
+    return F.coalesce(*[F.when(token.rlike(p), F.lit(i)) for i, (p, _) in enumerate(ENCODINGS)])
+
+
 def log_e(token: Column, model: list[float]) -> Column:
     """Log e-value of "uniform over the inferred encoding" against the corpus's characters."""
-    logs = F.array(*[F.lit(x) for x in model])
 
     def text_like(value: Column) -> Column:
-        return F.aggregate(_characters(value), F.lit(0.0), lambda t, c: t + F.coalesce(F.get(logs, F.instr(F.lit(ALPHABET), c) - 1), F.lit(min(model))))
+        # An unknown character, at 0, gets the least of all.
+        logs = _array([min(model), *model], "double")
+        return F.aggregate(_characters(value), F.lit(0.0), lambda t, c: t + F.get(logs, F.instr(F.lit(ALPHABET), c)))
 
     # Ordinary words in capitals are ordinary words: they are held to the model in lower case too.
-    text = F.when(token.rlike("[a-z]"), text_like(token)).otherwise(F.greatest(text_like(token), text_like(F.lower(token))))
-    size = F.coalesce(*[F.when(token.rlike(p), F.lit(math.log(len(a)))) for p, a in ENCODINGS])
+    both = F.array(token, F.when(token.rlike("[a-z]"), token).otherwise(F.lower(token)))
+    text = F.array_max(F.transform(both, text_like))
+    size = F.get(_array([math.log(len(a)) for _, a in ENCODINGS], "double"), _encoding(token))
     return -F.length(token) * size - text - F.lit(math.log(len(ENCODINGS)))
 
 
@@ -111,7 +124,7 @@ def _tail(z: Column) -> Column:
 
 def uniformity(token: Column) -> Column:
     """The Bonferroni-combined p-value of the battery under "uniform over the inferred encoding"."""
-    alphabet = F.coalesce(*[F.when(token.rlike(p), F.lit(a)) for p, a in ENCODINGS])
+    alphabet = F.get(_array([a for _, a in ENCODINGS], "string"), _encoding(token))
 
     def battery(s: Column) -> Column:
         n, size, values = s["n"].cast("double"), s["a"].cast("double"), s["v"]
@@ -152,11 +165,16 @@ def evidence(token: Column, model: list[float], mean: float, alpha: float, least
     return S.bind(most, lambda m: F.when(m >= least, m + penalty).otherwise(m))
 
 
+def spread(tokens: DataFrame) -> DataFrame:
+    """The tokens over as many tasks as a shuffle has: few bytes, but much to compute."""
+    return tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def discovery_threshold(tokens: DataFrame, model: list[float], mean: float, *, fdr: float = 0.01, alpha: float = 0.001) -> float:
     """The log evidence from which weighted e-BH rejects, over every token of the corpus."""
     floor = math.log(1 / fdr)
     bins = F.when(F.col("e") >= floor, F.floor(F.least(F.col("e"), F.lit(LOG_E_TOP)) / LOG_E_BIN).cast("int"))
-    found = tokens.select(evidence(F.col("t"), model, mean, alpha, floor).alias("e"), "n").groupBy(bins.alias("bin")).agg(F.sum("n").alias("n")).collect()
+    found = spread(tokens).select(evidence(F.col("t"), model, mean, alpha, floor).alias("e"), "n").groupBy(bins.alias("bin")).agg(F.sum("n").alias("n")).collect()
     tested, rejected = sum(r["n"] for r in found), 0
     best = math.inf
     for bin_, n in sorted(((r["bin"], r["n"]) for r in found if r["bin"] is not None), reverse=True):
@@ -177,7 +195,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr
     threshold = discovery_threshold(counted, model, mean, fdr=fdr, alpha=alpha)
     if not math.isinf(threshold):
         # What was found is no ordinary token: the rest gives the distribution that the final evidence is held against.
-        model = character_model(counted.where(evidence(F.col("t"), model, mean, alpha, threshold) < threshold))
+        model = character_model(spread(counted).where(evidence(F.col("t"), model, mean, alpha, threshold) < threshold))
         threshold = discovery_threshold(counted, model, mean, fdr=fdr, alpha=alpha)
     drop_materialised(docs.sparkSession, counted)
     frame = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("keep_"))
