@@ -1,15 +1,23 @@
-"""Near-duplicate groups by shingle similarity, found by MinHash bands and verified exactly.
+"""Near-duplicate groups by shingle similarity, found by SimHash with multi-index hashing and verified exactly.
 
 A text is the set of its five-word shingles (A-Z lower-cased, words split at ASCII white space,
 XXH64 each). Two texts are near copies if the Jaccard similarity of their sets is at least 0.8, and
 a group is whatever such pairs connect.
 
-``BANDS`` bands of ``ROWS`` minimum hashes find candidates: a pair at 0.8 shares no band with a
-probability of (1 - 0.8**6)**48 = 5e-7, a closer pair with less. Distinct sets only take part, and
-copies join by equality. Texts that share a band are chained, not paired, so a run of one key costs
-its length; components of these chains are clusters of candidates. Each cluster's sets then meet in
-one task, once, where exact similarities are walked breadth first against the texts that no walk
-has reached yet. A cluster is held in memory by that task.
+Candidates come from SimHash fingerprints of ``64 * WORDS`` bits. 64 bits cannot tell similarity 0.8
+(9.7 bits apart on average, up to 19) from chance without balls of thousands of keys; a long
+fingerprint can, since a bit of it differs with a probability of 0.15 at similarity 0.8 whatever its
+length, and of 0.5 by chance. The fingerprint is cut into ``SEGMENTS`` segments of ``SEGMENT`` bits,
+and two fingerprints meet where a segment agrees: a pair at 0.8 agrees on none with a probability of
+(1 - 0.8485**14)**146 = 2e-7 (2e-6 for the worst sizes from five shingles on, 3e-4 for four of five
+shingles), a closer pair with less. Those that meet are linked if the first ``CHECKED`` words differ in
+at most ``DISTANCE`` bits (20 standard deviations of chance are 139 bits, a pair at 0.8 differs in 29 on
+average, beyond 60 with less than 1e-8; two unrelated texts come as close with 2e-7). Distinct fingerprints only
+take part, and copies join by equality. Within a segment's key links are a spanning forest, not all
+pairs. Components of links are clusters of candidates. Each cluster's sets then meet in one task,
+once, where exact similarities are walked breadth first against the texts that no walk has reached
+yet. A cluster is held in memory by that task. Comparisons grow with the square of the distinct texts, divided
+by 2**SEGMENT.
 
 Defined results: null, empty or blank texts have the empty set and are copies of each other; texts
 of fewer than five words have one shingle, the whole sequence; repeated rows get one row each; an
@@ -33,8 +41,15 @@ from factgraph.runtime import materialise
 SHINGLE, SEED = 5, 42
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
-BANDS, ROWS = 48, 6
-_SLICE, _BLOCK = 256, 1 << 8
+#: 64-bit words of a fingerprint; bits of a segment; segments.
+WORDS, SEGMENT, SEGMENTS = 32, 14, 146
+#: Two fingerprints that meet are linked if so many words differ in at most so many bits, the first word in no more than ``FIRST``.
+CHECKED, DISTANCE, FIRST = 3, 60, 28
+#: Runs of one key beyond this size are walked breadth first.
+LARGE_RUN = 4096
+_SLICE = 256
+#: A sum of so many bits fits a byte.
+_BLOCK = 255
 
 
 def shingles(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -53,25 +68,40 @@ def shingles(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndar
     return np.unique(np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in pairs), np.uint64, len(words) - size + 1))
 
 
-def _hashers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    draw = lambda: rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw(), draw()
+def _words(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of each shingle, a row of them: XXH64 continued by SplitMix64."""
+    z = hashes[:, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
 
 
-def bands(found: np.ndarray, hashers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One key per band, from its minimum hashes; none for the empty set."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    turn, factor = hashers
-    low = np.full(len(turn), np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in words: a bit is that of most shingles.
+
+    If they are even, a word has the bits of the shingle whose word before it is the smallest.
+    """
+    counts, turn = np.zeros(64 * WORDS, np.int64), np.arange(WORDS)
+    low, ties = np.full(WORDS, np.iinfo(np.uint64).max, np.uint64), np.zeros(WORDS, np.uint64)
     for at in range(0, len(found), _BLOCK):
-        low = np.minimum(low, ((found[at : at + _BLOCK, None] ^ turn) * factor).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in low.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-    return keys
+        z = _words(found[at : at + _BLOCK])
+        counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+        if len(found) % 2 == 0:
+            place = z.argmin(axis=0)
+            less = z[place, turn] < low
+            low = np.where(less, z[place, turn], low)
+            ties = np.where(less, z[place, (turn + 1) % WORDS], ties)
+    even = np.unpackbits(np.roll(ties, 1).view(np.uint8), bitorder="little")
+    return np.packbits(2 * counts + even > len(found), bitorder="little").view(np.uint64)
+
+
+def _node(words: np.ndarray) -> np.ndarray:
+    """The names of fingerprints, signed longs, from their checked words (one column each)."""
+    out = np.zeros(words.shape[1], np.uint64)
+    for word in words:
+        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def _name(found: np.ndarray) -> int:
@@ -82,32 +112,111 @@ def _name(found: np.ndarray) -> int:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashers = _hashers()
     for whole in batches:
         for at in range(0, whole.num_rows, _SLICE):
             batch = whole.slice(at, _SLICE)
-            fps, keys = [], []
-            for text in batch.column(2):
-                found = shingles(text.as_py())
-                fps.append(_name(found))
-                keys.append(bands(found, hashers).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "fp", "keys"])
-
-
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Link each of the sorted (key, fp) rows to the one before it under the same key."""
-    last = None
+            sets = [shingles(text.as_py()) for text in batch.column(2)]
+            prints = np.array([fingerprint(found) for found in sets], np.uint64)
+            columns = [batch.column(0), batch.column(1), pa.array([_name(found) for found in sets], pa.int64())]
+            columns += [pa.array(_node(prints[:, :CHECKED].T)), pa.array([row.tobytes() for row in prints], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "fp", "node", "print"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per segment of each (node, print): its number and bits as the key, and the checked words."""
+    numbers = np.arange(SEGMENTS, dtype=np.int32) << SEGMENT
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            prints = np.frombuffer(b"".join(whole.column(1).slice(at, _SLICE).to_pylist()), np.uint64).reshape(-1, WORDS)
+            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENT * SEGMENTS].reshape(len(prints), SEGMENTS, SEGMENT)
+            keys = np.broadcast_to(numbers, (len(prints), SEGMENTS)).copy()
+            for j in range(SEGMENT):
+                keys |= bits[:, :, j].astype(np.int32) << j
+            words = [pa.array(np.repeat(prints[:, j], SEGMENTS).view(np.int64)) for j in range(CHECKED)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *words], names=["key", *(f"w{j}" for j in range(CHECKED))])
+
+
+def _close(words: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0) <= DISTANCE
+
+
+def _walk(words: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the close fingerprints of one large run, breadth first."""
+    left, out = np.arange(words.shape[1]), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = _close(words, [at], left)
+            hits = left[near].tolist()
+            if hits:
+                left = left[~near]
+                queue += hits
+                out += [(at, hit) for hit in hits]
+    return out
+
+
+def linked(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Pairs of places (two columns) that connect what all close pairs under a common key connect; sorted by key."""
+    edges = np.flatnonzero(np.diff(keys)) + 1
+    starts = np.concatenate(([0], edges))
+    sizes = np.diff(np.append(starts, len(keys)))
+    out = [(start + i, start + j) for start, size in zip(starts[sizes > LARGE_RUN].tolist(), sizes[sizes > LARGE_RUN].tolist(), strict=True) for i, j in _walk(words[:, start : start + size])]
+    size_of = np.repeat(sizes, sizes)
+    at = np.flatnonzero((size_of > 1) & (size_of <= LARGE_RUN))
+    # Trees of what is linked already; the rows of all runs are compared with those ``step`` places on at once.
+    tree = np.arange(len(keys))
+    first, most, step = words[0, at], int(size_of[at].max(initial=1)), 1
+    while step < most:
+        if not step & (step - 1):
+            # The rows of runs that are still longer, side by side.
+            at = at[size_of[at] > step]
+            first = words[0, at]
+        hits = np.flatnonzero(np.bitwise_count(first[step:] ^ first[:-step]) <= FIRST)
+        i, j = at[hits], at[hits + step]
+        new = (keys[i] == keys[j]) & (tree[i] != tree[j])
+        i, j = i[new], j[new]
+        close = _close(words, i, j)
+        for a, b in zip(i[close].tolist(), j[close].tolist(), strict=True):
+            top, other = a, b
+            while tree[top] != top:
+                top = int(tree[top])
+            while tree[other] != other:
+                other = int(tree[other])
+            if top != other:
+                tree[max(top, other)] = min(top, other)
+                out.append((a, b))
+        if close.any():
+            while (tree[tree] != tree).any():
+                tree = tree[tree]
+        step += 1
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Link sorted (key, words) rows; a run that a batch cuts off waits for the next batch."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            words = np.concatenate([x[1] for x in parts], axis=1)
+            pairs = linked(np.concatenate([x[0] for x in parts]), words)
+            if len(pairs):
+                ends = np.sort(np.stack((_node(words[:, pairs[:, 0]]), _node(words[:, pairs[:, 1]])), axis=1), axis=1)
+                ends = np.unique(ends, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+
     for batch in batches:
-        keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        if last is not None:
-            keys, fps = np.concatenate((last[0], keys)), np.concatenate((last[1], fps))
-        last = keys[-1:].copy(), fps[-1:].copy()
-        same = (keys[1:] == keys[:-1]) & (fps[1:] != fps[:-1])
-        pairs = np.unique(np.stack((fps[:-1][same], fps[1:][same]), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        keys, *words = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+        words = np.stack(words).view(np.uint64)
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield from emit([*waiting, (keys[:cut], words[:, :cut])])
+            waiting = []
+        waiting.append((keys[cut:], words[:, cut:]))
+    yield from emit(waiting)
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -164,12 +273,15 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     """
     row = F.col(row_col) if row_col else F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
-    found = materialise(rows.mapInArrow(_sketches, f"id {id_type(docs, id_col)}, row long, fp long, keys array<long>"))
-    keyed = found.select("fp", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp")
-    chains = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_chains, "u long, v long")
-    clusters = components(chains)
-    # One row of the documents for each set of a cluster, with its text.
-    asked = found.groupBy("fp").agg(F.min("row").alias("row")).join(clusters.select(F.col("node").alias("fp"), F.col("root").alias("cluster")), "fp")
+    found = materialise(rows.mapInArrow(_sketches, f"id {id_type(docs, id_col)}, row long, fp long, node long, print binary"))
+    keyed = found.where("fp <> 0").select("node", "print").dropDuplicates(["node"]).mapInArrow(_segments, "key int, w0 long, w1 long, w2 long")
+    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    # One row of the documents for each set; sets that share a fingerprint are candidates without a link.
+    sets = found.groupBy("fp").agg(F.min("row").alias("row"), F.min("node").alias("node"))
+    shared = sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.col("node").alias("root"))
+    clusters = components(links).unionByName(shared).groupBy("node").agg(F.min("root").alias("cluster"))
+    # The sets of a cluster, each with its text.
+    asked = sets.join(clusters, "node").select("fp", "row", "cluster")
     texts = rows.select("row", "text").join(asked, "row")
     roots = materialise(texts.groupBy("cluster").applyInArrow(_verify, "node long, root long"))
     return simhash.named(found.select("id", "row", "fp"), roots, id_col)
