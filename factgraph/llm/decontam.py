@@ -2,8 +2,8 @@
 
 1. Every document becomes the numbers of its words in the benchmark's vocabulary, once, in the shared
    folder. Passage frequencies of all documents give the weights of the words.
-2. Passages of a bounded sample of documents (``sample_docs``, those with the smallest hash of their
-   id) and all benchmark items, these ``item_weight`` times as heavy, are TF-IDF vectors; words are
+2. Passages of all documents, together as heavy as ``mass`` passages if there are more, and all benchmark items, these
+   ``item_weight`` times as heavy as a passage of that mass, are TF-IDF vectors; words are
    hashed to at most ``max_terms`` columns. A distributed randomised SVD of that matrix (Halko,
    Martinsson and Tropp 2011) gives the latent basis: each partition multiplies its rows with the
    current basis and sends one dense sketch, partial sums meet in a tree.
@@ -149,19 +149,25 @@ def _array_row(data: np.ndarray, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["data", "total"])
 
 
+def _passages(codes: np.ndarray, starts: np.ndarray, v: int) -> tuple[np.ndarray, int]:
+    """The sorted keys (passage times ``v`` plus word) of all known words, repeats included, and how many passages there are."""
+    sizes = np.diff(starts)
+    per_line = -(-sizes // PASSAGE)
+    first = np.cumsum(per_line) - per_line
+    passage = np.repeat(first, sizes) + (np.arange(len(codes)) - np.repeat(starts[:-1], sizes)) // PASSAGE
+    known = codes >= 0
+    return np.sort(passage[known] * v + codes[known]), int(per_line.sum())
+
+
 def _frequencies(items: Items):
     """How many passages hold each word, and how many passages there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, passages, v = np.zeros(len(items.terms), np.int64), 0, len(items.terms)
         for _, codes, starts in _blocks(batches):
-            sizes = np.diff(starts)
-            per_line = -(-sizes // PASSAGE)
-            first = np.cumsum(per_line) - per_line
-            passage = np.repeat(first, sizes) + (np.arange(len(codes)) - np.repeat(starts[:-1], sizes)) // PASSAGE
-            known = codes >= 0
-            counts += np.bincount(distinct(passage[known] * v + codes[known]) % v, minlength=v)
-            passages += int(per_line.sum())
+            keys, n = _passages(codes, starts, v)
+            counts += np.bincount(distinct(keys) % v, minlength=v)
+            passages += n
         yield _array_row(counts, passages)
 
     return run
@@ -174,14 +180,54 @@ def _vector(codes: np.ndarray, idf: np.ndarray, n_columns: int) -> tuple[np.ndar
     return terms % n_columns, values / max(float(np.linalg.norm(values)), 1e-12)
 
 
+def _edges(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.diff(sorted_keys, prepend=-1))
+
+
+def _run_sums(rows: np.ndarray, at: np.ndarray, most: int = 32) -> np.ndarray:
+    """The sum of each run of rows that begins at ``at``: the j-th rows of all runs at once, what long runs have beyond ``most`` apart."""
+    sizes = np.diff(np.append(at, len(rows)))
+    order = np.argsort(-sizes, kind="stable")
+    at, sizes = at[order], sizes[order]
+    dense = np.zeros((len(at), rows.shape[1]), rows.dtype)
+    for j in range(min(most, int(sizes.max(initial=0)))):
+        n = int(np.searchsorted(-sizes, -j, "left"))
+        dense[:n] += rows.take(at[:n] + j, axis=0)
+    for k in range(int(np.searchsorted(-sizes, -most, "left"))):
+        dense[k] += rows[at[k] + most : at[k] + sizes[k]].sum(axis=0)
+    out = np.empty_like(dense)
+    out[order] = dense
+    return out
+
+
+def _vectors(codes: np.ndarray, starts: np.ndarray, idf: np.ndarray, n_columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unit TF-IDF vectors (``_vector``) of all passages, sparse: (passage, column, value), by passage."""
+    keys, n = _passages(codes, starts, len(idf))
+    at = _edges(keys)
+    passage, terms = np.divmod(keys[at], len(idf))
+    values = np.sqrt(np.diff(np.append(at, len(keys)))) * idf[terms]
+    norms = np.sqrt(np.bincount(passage, values * values, minlength=n))
+    return passage, terms % n_columns, values / np.maximum(norms[passage], 1e-12)
+
+
 def _sketch(items: Items, idf: np.ndarray, basis: np.ndarray):
+    """The sum, over all passages, of their vector times its projection."""
+    small = basis.astype(np.float32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape, np.float64)
-        for _, codes, starts in _blocks(batches):
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                for i in range(a, b, PASSAGE):
-                    t, v = _vector(codes[i : min(b, i + PASSAGE)], idf, items.n_columns)
-                    np.add.at(total, t, np.outer(v, v @ basis[t]))
+        for _, codes, starts in _blocks(batches, 50_000):
+            passage, column, value = _vectors(codes, starts, idf, items.n_columns)
+            if not len(passage):
+                continue
+            value = value.astype(np.float32)[:, None]
+            at = _edges(passage)
+            row = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(passage))))
+            projected = _run_sums(small.take(column, axis=0) * value, at)
+            order = np.argsort(column, kind="stable")
+            at = _edges(column[order])
+            total[column[order[at]]] += _run_sums(projected.take(row[order], axis=0) * value[order], at)
         yield _array_row(total, 1)
 
     return run
@@ -256,19 +302,17 @@ class Model:
         return self.masks[item]
 
 
-def fit(codes: DataFrame, items: Items, *, rank: int, power: int, sample_docs: int, item_weight: float, least_words: int, seed: int, **checks) -> Model:
+def fit(codes: DataFrame, items: Items, *, rank: int, power: int, mass: int, item_weight: float, least_words: int, seed: int, **checks) -> Model:
     """The latent model of encoded documents and the items."""
     v = len(items.terms)
     df, passages = _tree_sum(codes.select("n", "codes").mapInArrow(_frequencies(items), "data binary, total long"), np.int64, (v,))
     idf = np.log((passages + len(items.ids) + 1.0) / (df + 1.0))
-    chosen = codes.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    # The broadcast side has sample_docs rows at most, and the sample stands in a few partitions.
-    sample = materialise(codes.join(F.broadcast(chosen), "id").select("n", "codes").repartition(8))
     own = [_vector(c, idf, items.n_columns) for c in items.codes]
     rank = min(rank, items.n_columns)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(items.n_columns, rank)))[0]
     for _ in range(power + 1):
-        sketch, _ = _tree_sum(sample.mapInArrow(_sketch(items, idf, basis), "data binary, total long"), np.float64, basis.shape)
+        sketch, _ = _tree_sum(codes.select("n", "codes").mapInArrow(_sketch(items, idf, basis), "data binary, total long"), np.float64, basis.shape)
+        sketch *= min(1.0, mass / max(1, passages))
         for t, x in own:
             np.add.at(sketch, t, item_weight**2 * np.outer(x, x @ basis[t]))
         basis = np.linalg.qr(sketch)[0]
@@ -431,7 +475,7 @@ def _search(model: Model, item_type: str):
 
 
 def found(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, power: int = 1, sample_docs: int = 2000, item_weight: float = 6.0,
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, power: int = 1, mass: int = 16_000, item_weight: float = 6.0,
     least_words: int = 8, least_phrase: int = 3, max_items: int = 20_000, max_terms: int = 1 << 16, cosine: float = 0.6, verbatim: float = 0.8, paraphrase: float = 0.4, answer: int = 6, seed: int = 0,
 ) -> DataFrame:
     """(id, row, item, cosine, overlap, answered, word_offset): documents by id and ``row_key``, and the items that they contain."""
@@ -446,7 +490,7 @@ def found(
         items = Items.read(some, item_col, item_text_col, least_phrase, max_terms)
         if items.ids:
             codes = encoded(docs, items, id_col=id_col, text_col=text_col)
-            model = fit(codes, items, rank=rank, power=power, sample_docs=sample_docs, item_weight=item_weight, least_words=least_words, seed=seed, cosine=cosine, verbatim=verbatim, paraphrase=paraphrase, answer=answer)
+            model = fit(codes, items, rank=rank, power=power, mass=mass, item_weight=item_weight, least_words=least_words, seed=seed, cosine=cosine, verbatim=verbatim, paraphrase=paraphrase, answer=answer)
             parts.append(codes.mapInArrow(_search(model, to_arrow_type(item_field)), schema))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from factgraph.llm import decontam
@@ -78,3 +79,34 @@ def test_leaked_rows_go_and_rows_that_share_their_id_stay(spark, max_items):
     leaked, clear = " ".join(words(30) + ITEMS[3] + words(30)), " ".join(words(80))
     docs = spark.createDataFrame([(5, leaked, 1), (5, clear, 1), (None, leaked, 1), (None, clear, 1)], "doc_id long, text string, row int")
     assert {(r["doc_id"], r["text"] == clear) for r in decontam.clean(docs, table(spark), max_items=max_items).collect()} == {(5, True), (None, True)}
+
+
+def test_the_basis_is_that_of_the_passages_of_all_documents(spark):
+    """The same subspace iteration over a dense matrix of every passage; rows without an id or with a shared one count too."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(60)], k=rng.randint(0, 60))) for _ in range(2600)]
+    items = [(k, " ".join(rng.choices([f"v{i}" for i in range(50)], k=20))) for k in range(8)]
+    docs = spark.createDataFrame([(i if i % 5 else None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    read = decontam.Items.read(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 3, 40)
+    codes = decontam.encoded(docs, read, id_col="doc_id", text_col="text")
+    v, every = len(read.terms), []
+    for text in texts:
+        words = [read.terms.get(w.encode(), -1) for w in text.split()]
+        every += [words[i : i + decontam.PASSAGE] for i in range(0, len(words), decontam.PASSAGE)]
+    counts = np.array([[p.count(t) for t in range(v)] for p in every], float)
+    idf = np.log((len(every) + len(items) + 1.0) / ((counts > 0).sum(axis=0) + 1.0))
+
+    def matrix(counts):
+        rows = np.sqrt(counts) * idf
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        out = np.zeros((len(rows), 40))
+        np.add.at(out.T, np.arange(v) % 40, rows.T)
+        return out
+
+    x, own = matrix(counts), matrix(np.array([np.bincount(c, minlength=v) for c in read.codes], float))
+    for mass in (1000, 1 << 30):
+        model = decontam.fit(codes, read, rank=6, power=1, mass=mass, item_weight=6.0, least_words=8, seed=0, cosine=0.6, verbatim=0.8, paraphrase=0.4, answer=6)
+        basis = np.linalg.qr(np.random.default_rng(0).normal(size=(40, 6)))[0]
+        for _ in range(2):
+            basis = np.linalg.qr(min(1, mass / len(every)) * x.T @ (x @ basis) + 36 * own.T @ (own @ basis))[0]
+        assert v > 40 and np.allclose(model.basis, basis[np.arange(v) % 40] * idf[:, None], atol=1e-4)
