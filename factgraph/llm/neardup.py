@@ -11,8 +11,7 @@ length, and of 0.5 by chance. The fingerprint is cut into ``SEGMENTS`` segments
 and two fingerprints meet where a segment agrees: a pair at 0.8 agrees on none with a probability of
 (1 - 0.8485**14)**146 = 2e-7 (2e-6 for the worst sizes from five shingles on, 3e-4 for four of five
 shingles), a closer pair with less. Those that meet are linked if the first ``CHECKED`` words differ in
-at most ``DISTANCE`` bits (20 standard deviations of chance are 139 bits, a pair at 0.8 differs in 29 on
-average, beyond 60 with less than 1e-8; two unrelated texts come as close with 2e-7). Distinct fingerprints only
+at most ``DISTANCE`` bits (of 192, a pair at 0.8 differs in 29 on average, two unrelated texts in 96). Distinct fingerprints only
 take part, and copies join by equality. Within a segment's key links are a spanning forest, not all
 pairs. Components of links are clusters of candidates. Each cluster's sets then meet in one task,
 once, where exact similarities are walked breadth first against the texts that no walk has reached
