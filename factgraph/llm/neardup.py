@@ -13,7 +13,10 @@ and two fingerprints meet where a segment agrees: a pair at 0.8 agrees on none w
 shingles), a closer pair with less. Those that meet are linked if the first ``CHECKED`` words differ in
 at most ``DISTANCE`` bits (of 192, a pair at 0.8 differs in 29 on average, two unrelated texts in 96). Distinct fingerprints only
 take part, and copies join by equality. Within a segment's key links are a spanning forest, not all
-pairs. Components of links are clusters of candidates. Each cluster's sets then meet in one task,
+pairs, and what a batch of keys connects is sent as links of each fingerprint to the smallest one that
+it reaches there. All segments find the same group again, each by links of its own, so the first
+``FEW`` go ahead: the others send links between what these have not connected. Components of links
+are clusters of candidates. Each cluster's sets then meet in one task,
 once, where exact similarities are walked breadth first against the texts that no walk has reached
 yet. A cluster is held in memory by that task. Comparisons grow with the square of the distinct texts, divided
 by 2**SEGMENT.
@@ -44,6 +47,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 WORDS, SEGMENT, SEGMENTS = 32, 14, 146
 #: Two fingerprints that meet are linked if so many words differ in at most so many bits, the first word in no more than ``FIRST``.
 CHECKED, DISTANCE, FIRST = 3, 60, 28
+#: So many segments are linked before the others.
+FEW = 12
 #: Runs of one key beyond this size are walked breadth first.
 LARGE_RUN = 4096
 _SLICE = 256
@@ -121,18 +126,20 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "fp", "node", "print"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per segment of each (node, print): its number and bits as the key, and the checked words."""
-    numbers = np.arange(SEGMENTS, dtype=np.int32) << SEGMENT
+def _segments(batches: Iterator[pa.RecordBatch], first: int = 0, last: int = SEGMENTS) -> Iterator[pa.RecordBatch]:
+    """One row per segment of each (node, print) or (node, print, root): its number and bits as the key, the checked words, the root."""
+    numbers = np.arange(first, last, dtype=np.int32) << SEGMENT
     for whole in batches:
         for at in range(0, whole.num_rows, _SLICE):
             prints = np.frombuffer(b"".join(whole.column(1).slice(at, _SLICE).to_pylist()), np.uint64).reshape(-1, WORDS)
-            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENT * SEGMENTS].reshape(len(prints), SEGMENTS, SEGMENT)
-            keys = np.broadcast_to(numbers, (len(prints), SEGMENTS)).copy()
+            bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, SEGMENT * first : SEGMENT * last].reshape(len(prints), last - first, SEGMENT)
+            keys = np.broadcast_to(numbers, (len(prints), last - first)).copy()
             for j in range(SEGMENT):
                 keys |= bits[:, :, j].astype(np.int32) << j
-            words = [pa.array(np.repeat(prints[:, j], SEGMENTS).view(np.int64)) for j in range(CHECKED)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *words], names=["key", *(f"w{j}" for j in range(CHECKED))])
+            names = {f"w{j}": prints[:, j].view(np.int64) for j in range(CHECKED)}
+            if whole.num_columns > 2:
+                names["root"] = whole.column(2).slice(at, _SLICE).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, last - first)) for x in names.values())], names=["key", *names])
 
 
 def _close(words: np.ndarray, i, j) -> np.ndarray:
@@ -192,18 +199,40 @@ def linked(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges (u, v) the components, as edges from the smallest node of each to all of its others."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while (low[a] != low[b]).any():
+        # The tops of trees that an edge connects: the larger one goes below the smaller one.
+        one, other = low[a], low[b]
+        np.minimum.at(low, one, other)
+        np.minimum.at(low, other, one)
+        while (low[low] != low).any():
+            low = low[low]
+    others = low != np.arange(len(nodes))
+    return nodes[low[others]], nodes[others]
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Link sorted (key, words) rows; a run that a batch cuts off waits for the next batch."""
+    """Link sorted (key, words) rows; a run that a batch cuts off waits for the next batch.
+
+    With a root behind the words, it is linked instead of the fingerprint, unless it is 0.
+    """
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if parts:
             words = np.concatenate([x[1] for x in parts], axis=1)
-            pairs = linked(np.concatenate([x[0] for x in parts]), words)
-            if len(pairs):
-                ends = np.sort(np.stack((_node(words[:, pairs[:, 0]]), _node(words[:, pairs[:, 1]])), axis=1), axis=1)
-                ends = np.unique(ends, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+            pairs = linked(np.concatenate([x[0] for x in parts]), words[:CHECKED])
+            ends = [_node(words[:CHECKED, pairs[:, j]]) for j in (0, 1)]
+            if len(words) > CHECKED:
+                roots = words[CHECKED].view(np.int64)[pairs]
+                ends = [np.where(roots[:, j] == 0, ends[j], roots[:, j]) for j in (0, 1)]
+            low, others = stars(*ends)
+            if len(low):
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(others)], names=["u", "v"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -265,6 +294,16 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(fps), pa.array(fps[similar(list(sets.values()))])], names=["node", "root"])
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """(node, root) of the fingerprints (node, print) that have links: the smallest one that each can reach."""
+    schema = "key int, w0 long, w1 long, w2 long"
+    deal = lambda keyed: keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    few = components(deal(prints.mapInArrow(lambda batches: _segments(batches, 0, FEW), schema)))
+    rooted = prints.join(few, "node", "left").select("node", "print", F.coalesce("root", F.lit(0).cast("long")).alias("root"))
+    more = deal(rooted.mapInArrow(lambda batches: _segments(batches, FEW), f"{schema}, root long"))
+    return components(few.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more))
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(id, fp, component_id, row, component): the smallest id of each document's group; fp names its set of shingles.
 
@@ -273,12 +312,11 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     row = F.col(row_col) if row_col else F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
     found = materialise(rows.mapInArrow(_sketches, f"id {id_type(docs, id_col)}, row long, fp long, node long, print binary"))
-    keyed = found.where("fp <> 0").select("node", "print").dropDuplicates(["node"]).mapInArrow(_segments, "key int, w0 long, w1 long, w2 long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    linked_nodes = candidates(found.where("fp <> 0").select("node", "print").dropDuplicates(["node"]))
     # One row of the documents for each set; sets that share a fingerprint are candidates without a link.
     sets = found.groupBy("fp").agg(F.min("row").alias("row"), F.min("node").alias("node"))
     shared = sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node", F.col("node").alias("root"))
-    clusters = components(links).unionByName(shared).groupBy("node").agg(F.min("root").alias("cluster"))
+    clusters = linked_nodes.unionByName(shared).groupBy("node").agg(F.min("root").alias("cluster"))
     # The sets of a cluster, each with its text.
     asked = sets.join(clusters, "node").select("fp", "row", "cluster")
     texts = rows.select("row", "text").join(asked, "row")

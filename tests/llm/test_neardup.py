@@ -97,3 +97,32 @@ def test_links_of_a_run_connect_what_all_pairs_connect(monkeypatch):
         monkeypatch.setattr(neardup, "LARGE_RUN", large)
         found = neardup.linked(keys, words).tolist()
         assert parts(found) == want and len(found) == 200 - len(set(want))
+
+
+def test_a_large_group_has_few_links(spark, monkeypatch):
+    """Near copies of one text: the segments do not each send a tree of the same group, and no text is lost."""
+    rng, edges, whole = random.Random(8), [], neardup.components
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate(rng.choices(range(120), k=400))]
+    monkeypatch.setattr(neardup, "components", lambda links: edges.append(links.distinct().count()) or whole(links))
+    found = neardup.groups(spark.createDataFrame([*enumerate([*texts, "another text of six short words"])], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict.fromkeys(range(400), 0) | {400: 400}
+    assert sum(edges) < 15 * 400
+
+
+def test_stars_are_the_components():
+    rng = np.random.default_rng(9)
+    assert not len(neardup.stars(np.zeros(0, np.int64), np.zeros(0, np.int64))[0])
+    for _ in range(50):
+        n = int(rng.integers(2, 300))
+        names = rng.permutation(np.arange(-n, n, 2))
+        u, v = names[rng.integers(0, n, (2, int(rng.integers(1, n))))]
+        root = {int(x): int(x) for x in (*u, *v)}
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            one, other = root[a], root[b]
+            root = {k: min(one, other) if r in (one, other) else r for k, r in root.items()}
+        low, others = neardup.stars(u, v)
+        assert dict(zip(others.tolist(), low.tolist(), strict=True)) == {k: r for k, r in root.items() if k != r}
+    path = rng.permutation(100_000)
+    low, others = neardup.stars(path[:-1], path[1:])
+    assert not low.any() and len(others) == 99_999
